@@ -5,16 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import sentencepiece_codec
+from murmur.llm import html_extract, sentencepiece_codec
 from murmur.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact encoding and decoding of every document, as digests."""
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL, digests=True)
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece}
+QUERIES = {"op1_html_extract": op1_html_extract, "op3_sentencepiece": op3_sentencepiece}
 ORACLES: dict[str, str] = {}
