@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from murmur.llm import html_extract, sentencepiece_codec
+from murmur.llm import chat_format, html_extract, oracles, sentencepiece_codec, url_rules
 from murmur.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
+#: Fixed rules of the URL contract: (verdict, host, path).
+HOST_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: The method's own rules: host labels, path segments and file extensions of no use as training text.
+BLOCKED_LABELS = ["ads", "adserver", "doubleclick", "tracker", "tracking", "porn", "xxx", "casino", "poker", "torrent", "webmail", "captcha"]
+BLOCKED_SEGMENTS = ["login", "signin", "signup", "logout", "cart", "checkout", "wp-login", "wp-admin", "cgi-bin"]
+BLOCKED_EXTENSIONS = ["exe", "zip", "gz", "iso", "dmg", "apk", "jpg", "jpeg", "png", "gif", "webp", "mp3", "mp4", "avi", "css", "js", "woff", "woff2"]
+
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
@@ -21,5 +29,36 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL, digests=True)
 
 
-QUERIES = {"op1_html_extract": op1_html_extract, "op3_sentencepiece": op3_sentencepiece}
-ORACLES: dict[str, str] = {}
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and conversation -7 formatted, then read back from the output."""
+    said = "\\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.digests(chat_format.format_conversations(turns.unionByName(extra)))
+
+
+def url_rule_book() -> list[url_rules.Rule]:
+    return (
+        [url_rules.host_rule(*r) for r in HOST_RULES]
+        + [url_rules.token_rule("block", t, "label") for t in BLOCKED_LABELS]
+        + [url_rules.token_rule("block", t, "segment") for t in BLOCKED_SEGMENTS if t.isalnum()]
+        + [url_rules.token_rule("block", t, "extension") for t in BLOCKED_EXTENSIONS]
+    )
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL; rule is the host rule that decided, if one did."""
+    judged = url_rules.judge(table(spark, sf_dir, "pages"), url_rule_book())
+    return judged.withColumn("rule", F.when(F.col("rank") == 1, F.col("rule"))).drop("rank")
+
+
+QUERIES = {
+    "op1_html_extract": op1_html_extract,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_chat_format": op4_chat_format,
+    "op6_url_rules": op6_url_rules,
+}
+ORACLES: dict[str, str] = {
+    "op4_chat_format": oracles.CHAT_FORMAT,
+    "op6_url_rules": oracles.url_rules_sql(HOST_RULES, BLOCKED_LABELS, [t for t in BLOCKED_SEGMENTS if t.isalnum()], BLOCKED_EXTENSIONS),
+}
