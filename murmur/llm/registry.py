@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import chat_format, html_extract, oracles, sentencepiece_codec, url_rules
+from murmur.llm import chat_format, html_extract, license_scan, oracles, sentencepiece_codec, url_rules
 from murmur.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,6 +37,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(extra)))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and texts in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def url_rule_book() -> list[url_rules.Rule]:
     return (
         [url_rules.host_rule(*r) for r in HOST_RULES]
@@ -56,9 +61,11 @@ QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_format": op4_chat_format,
+    "op5_license_scan": op5_license_scan,
     "op6_url_rules": op6_url_rules,
 }
 ORACLES: dict[str, str] = {
     "op4_chat_format": oracles.CHAT_FORMAT,
+    "op5_license_scan": license_scan.oracle(),
     "op6_url_rules": oracles.url_rules_sql(HOST_RULES, BLOCKED_LABELS, [t for t in BLOCKED_SEGMENTS if t.isalnum()], BLOCKED_EXTENSIONS),
 }
