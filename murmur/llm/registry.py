@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import chat_format, html_extract, license_scan, oracles, sentencepiece_codec, url_rules
-from murmur.llm.common import table
+from murmur.llm import chat_format, html_extract, license_scan, oracles, quality_rules, sentencepiece_codec, url_rules
+from murmur.llm.common import Tables, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -57,12 +57,22 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("rule", F.when(F.col("rank") == 1, F.col("rule"))).drop("rank")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of every document, the base rules, and the verdict with cutoffs fitted on all labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    tables = Tables(spark, "op10")
+    found = tables.write(quality_rules.features(docs).drop("text"), "figures")
+    cutoffs = quality_rules.fit(found, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(found, cutoffs).select("doc_id", *quality_rules.FIGURES, "kept")
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_format": op4_chat_format,
     "op5_license_scan": op5_license_scan,
     "op6_url_rules": op6_url_rules,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op4_chat_format": oracles.CHAT_FORMAT,
