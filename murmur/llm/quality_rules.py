@@ -129,7 +129,7 @@ def fit(found: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: st
         F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(cut).alias("cut"), F.count(F.when(good & (figures[name] > cut), 1)).alias("k"), F.count(F.when(bad & (figures[name] > cut), 1)).alias("b")) for r, i, name, cut in marks]).alias("marks"),
     )
     strata = counts.agg(F.count("*").alias("strata"))
-    tested = counts.crossJoin(F.broadcast(strata)).select("_s", "n", "strata", F.inline("marks"))  # one row: not a join of rows with rows
+    tested = counts.withColumn("strata", strata.scalar()).select("_s", "n", "strata", F.inline("marks"))
     risk = F.lit(delta) / (F.col("strata") * len(marks))
     admitted = tested.where((F.col("n") > 0) & tail_at_most(F.col("k"), F.col("n"), F.lit(alpha / len(RULES)), risk))
     gain = F.struct((F.col("b") - cost * F.col("k")).alias("gain"), "cut")
