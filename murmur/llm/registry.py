@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import chat_format, html_extract, license_scan, oracles, pii, quality_rules, sentencepiece_codec, url_rules
+from murmur.llm import chat_format, html_extract, license_scan, near_dedup, oracles, pii, quality_rules, sentencepiece_codec, url_rules
 from murmur.llm.common import Tables, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -57,6 +57,11 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("rule", F.when(F.col("rank") == 1, F.col("rule"))).drop("rank")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, by shingles of four words."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and revealing terms of every document."""
     return pii.scan(table(spark, sf_dir, "documents"))
@@ -77,6 +82,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_license_scan": op5_license_scan,
     "op6_url_rules": op6_url_rules,
+    "op7_near_dedup": op7_near_dedup,
     "op8_pii": op8_pii,
     "op10_quality_rules": op10_quality_rules,
 }
