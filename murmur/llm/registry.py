@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import chat_format, html_extract, license_scan, near_dedup, oracles, pii, quality_rules, sentencepiece_codec, url_rules
+from murmur.llm import chat_format, decontaminate, html_extract, license_scan, near_dedup, oracles, pii, quality_rules, sentencepiece_codec, span_dedup, url_rules
 from murmur.llm.common import Tables, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,11 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose sentences to a run found earlier, with what is removed and left."""
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact encoding and decoding of every document, as digests."""
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL, digests=True)
@@ -67,6 +72,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a document and a benchmark item that it holds, in any order of its parts."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of every document, the base rules, and the verdict with cutoffs fitted on all labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -78,12 +88,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_span_dedup": op2_span_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_format": op4_chat_format,
     "op5_license_scan": op5_license_scan,
     "op6_url_rules": op6_url_rules,
     "op7_near_dedup": op7_near_dedup,
     "op8_pii": op8_pii,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
