@@ -1,13 +1,13 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of revealing terms.
 
 Patterns find the protected entities (e-mail, ip, card, phone, and secrets such as
-``password=...``). The method then asks which words near an entity give it away: over all
-distinct texts, n(e) hold the entity, n(t) hold the term, n(t, e) hold the term within a
+``password=...``). The method then asks which words near an entity give it away: of all
+N texts, n(e) hold the entity, n(t) hold the term, n(t, e) hold the term within a
 few words of the entity. Disclosure is the pointwise mutual information in units of what
 the entity itself would tell: log(N n(t,e) / (n(t) n(e))) / log(N / n(e)). Terms seen with
 an entity in ``support`` distinct texts or more whose disclosure reaches ``generalise``
-are replaced by their shape (``[NAME]``, ``[NUMBER]``, ``[WORD]``), from ``remove`` on they go. Counting
-distinct texts keeps copies of one text from looking like evidence.
+are replaced by their shape (``[NAME]``, ``[NUMBER]``, ``[WORD]``), from ``remove`` on they go. That
+support counts distinct texts keeps copies of one text from looking like evidence.
 
 Everything is DataFrame expressions. Places come from the matches and the gaps between
 them, by prefix sums in blocks, so long texts with many matches stay near linear; the
@@ -38,8 +38,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD, None), ("phone", PHONE, "+"), ("secret", SECRET, None))
 #: Words: letters and digits of any script.
 TERM = r"[\p{L}\p{N}]+"
-#: Candidate terms are broadcast up to this many rows (some ten MB).
-BROADCAST_TERMS = 200_000
+#: Rows that hold revealing terms are broadcast up to this many (ten MB or so); more are joined by shuffle.
+BROADCAST_ROWS = 50_000
 _BLOCK = 512
 
 
@@ -111,10 +111,24 @@ def _spans(text: Column, pattern: Column, kind_no: int, kind: str, needle: str |
     return F.when(F.contains(text, F.lit(needle)), found).otherwise(empty) if needle else found
 
 
-def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, th, spans): the pattern spans of every row, by start, then kind as listed."""
+def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int = 6, reach: int = 120) -> DataFrame:
+    """(d, th, spans, near): the pattern spans of every row, by start, then kind as listed, and the terms near each.
+
+    near: words on either side of a span, which are sought within ``reach`` characters.
+    """
     rows = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.select("d", "th", F.array_sort(F.concat(*[_spans(F.col("t"), F.lit(p), no, kind, needle) for no, (kind, p, needle) in enumerate(KINDS)])).alias("spans"))
+    found = F.array_sort(F.concat(*[_spans(F.col("t"), F.lit(p), no, kind, needle) for no, (kind, p, needle) in enumerate(KINDS)]))
+
+    def context(s: Column) -> Column:
+        before = F.slice(F.reverse(_words(F.substring(F.col("t"), F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach))))), 1, near)
+        after = F.slice(_words(F.substring(F.col("t"), s["end"] + 1, F.lit(reach))), 1, near)
+        return F.filter(F.array_union(before, after), lambda w: F.length(w) > 2)
+
+    return rows.select("d", "th", let(found, lambda spans: F.struct(spans.alias("spans"), F.transform(spans, context).alias("near"))).alias("x")).select("d", "th", "x.*")
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
 def _entity(span: Column) -> Column:
@@ -122,52 +136,44 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, tables: Tables, *, key: str = "doc_id", text: str = "text", near: int = 6, reach: int = 120, support: int = 3, generalise: float = 0.9) -> DataFrame:
-    """(e, term, disclosure) of the terms that reveal an entity.
-
-    ``found`` is the written result of ``find``. near: words on either side of an entity, which are sought within
-    ``reach`` characters.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    # A distinct text counts once however many copies it has.
-    held = found.where(F.size("spans") > 0).select("th", "spans").groupBy("th").agg(F.first("spans").alias("spans"))
-    mentions = held.select("th", F.explode("spans").alias("s")).select("th", F.xxhash64(_entity(F.col("s"))).alias("e"), "s.start", "s.end")
-    shared = mentions.groupBy("e").agg(F.count_distinct("th").alias("ne")).where(F.col("ne") >= support)
-    used = tables.write(mentions.join(shared, "e"), "mentions")
-    texts = rows.join(used.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.first("t").alias("t"))
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
-    before = F.slice(F.reverse(words(F.substring(F.col("t"), F.greatest(F.col("start") - reach, F.lit(0)) + 1, F.least(F.col("start"), F.lit(reach))))), 1, near)
-    after = F.slice(words(F.substring(F.col("t"), F.col("end") + 1, F.lit(reach))), 1, near)
-    pairs = used.join(texts, "th").select("th", "e", "ne", F.explode(F.array_union(before, after)).alias("term")).where(F.length("term") > 2)
-    together = pairs.groupBy("e", "term").agg(F.count_distinct("th").alias("nte"), F.first("ne").alias("ne")).where(F.col("nte") >= support)
-    candidates = tables.write(together, "candidates")
-    terms = candidates.select("term").distinct()
-    small = F.broadcast if candidates.count() <= BROADCAST_TERMS else (lambda df: df)
-    spoken = rows.select("th", F.explode(F.array_distinct(words(F.coalesce(F.col("t"), F.lit(""))))).alias("term"))
-    counts = spoken.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count_distinct("th").alias("nt"))
-    total = rows.select("th").groupBy("th").count().agg(F.count("*").alias("n"))
+def revealing_terms(docs: DataFrame, found: DataFrame, tables: Tables, *, text: str = "text", support: int = 3, generalise: float = 0.9) -> DataFrame:
+    """(e, term, disclosure) of the terms that reveal an entity; ``found`` is the written result of ``find``."""
+    mentions = found.where(F.size("spans") > 0).select("d", "th", F.explode(F.arrays_zip("spans", "near")).alias("x")).select("d", "th", F.xxhash64(_entity(F.col("x.spans"))).alias("e"), F.col("x.near").alias("near"))
+    # A row counts once for an entity however often it has it; the number of distinct texts keeps copies from being support.
+    by_row = mentions.groupBy("d", "th", "e").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    shared = by_row.groupBy("e", "th").agg(F.count("*").alias("c")).groupBy("e").agg(F.sum("c").alias("ne"), F.count("*").alias("texts"))
+    shared = shared.where(F.col("texts") >= support).select("e", "ne")
+    pairs = by_row.join(shared, "e").select("e", "ne", "th", F.explode("near").alias("term"))
+    together = pairs.groupBy("e", "term", "th").agg(F.count("*").alias("c"), F.first("ne").alias("ne")).groupBy("e", "term").agg(F.sum("c").alias("nte"), F.count("*").alias("texts"), F.first("ne").alias("ne"))
+    candidates = tables.write(together.where(F.col("texts") >= support).drop("texts"), "candidates")
+    spoken = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
+    counts = spoken.where(F.length("term") > 2).groupBy("term").agg(F.count("*").alias("nt"))
+    scored = candidates.join(counts, "term").withColumn("n", found.agg(F.count("*").alias("n")).scalar()).where(F.col("n") > F.col("ne"))
     bits = F.log(F.col("n") * F.col("nte") / (F.col("nt") * F.col("ne"))) / F.log(F.col("n") / F.col("ne"))
-    scored = candidates.join(counts, "term").withColumn("n", total.scalar()).where(F.col("n") > F.col("ne"))
     return scored.select("e", "term", bits.alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
-def term_spans(docs: DataFrame, found: DataFrame, revealing: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, th, terms, extra): revealing words of each row that holds the entity, and their spans."""
+def revealed_rows(found: DataFrame, revealing: DataFrame, tables: Tables) -> DataFrame:
+    """(d, th, terms) of the rows that hold an entity together with terms that reveal it; broadcast where few."""
     entities = found.where(F.size("spans") > 0).select("d", "th", F.explode("spans").alias("s")).select("d", "th", F.xxhash64(_entity(F.col("s"))).alias("e"))
-    per_row = entities.join(revealing, "e").groupBy("d", "th").agg(F.array_sort(F.collect_set(F.struct("term", "disclosure"))).alias("terms"))
+    rows = tables.write(entities.join(revealing, "e").groupBy("d", "th").agg(F.array_sort(F.collect_set(F.struct("term", "disclosure"))).alias("terms")), "revealed")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def term_spans(docs: DataFrame, revealed: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(d, th, extra): the spans of revealing terms in each row that has any."""
     keys = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    texts = keys.join(per_row, F.expr("true") & keys["d"].eqNullSafe(per_row["d"]) & (keys["th"] == per_row["th"])).select(keys["d"], keys["th"], "t", "terms").dropDuplicates(["d", "th"])
+    texts = keys.join(revealed, keys["d"].eqNullSafe(revealed["d"]) & (keys["th"] == revealed["th"])).select(keys["d"], keys["th"], "t", "terms").dropDuplicates(["d", "th"])
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_distinct(F.transform("terms", lambda x: x["term"])), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    return texts.withColumn("p", pattern).select("d", "th", "terms", _spans(F.col("t"), F.col("p"), len(KINDS), "term").alias("extra"))
+    return texts.withColumn("p", pattern).select("d", "th", _spans(F.col("t"), F.col("p"), len(KINDS), "term").alias("extra"))
 
 
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tables: Tables | None = None, **limits) -> DataFrame:
     """A row for each row: ``key``, n_<kind> of the fixed kinds, base_sha256, spans (all, as text)."""
     tables = tables or Tables(docs.sparkSession, "pii")
     found = tables.write(find(docs, key=key, text=text), "spans")
-    revealing = tables.write(revealing_terms(docs, found, tables, key=key, text=text, **limits), "revealing")
-    extra = term_spans(docs, found, revealing, key=key, text=text).select("d", "th", "extra")
+    revealing = tables.write(revealing_terms(docs, found, tables, text=text, **limits), "revealing")
+    extra = term_spans(docs, revealed_rows(found, revealing, tables), key=key, text=text)
     joined = found.alias("f").join(extra.alias("x"), F.expr("f.d <=> x.d AND f.th = x.th"), "left").select("f.d", "spans", "extra")
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind_no"] < len(BASE_KINDS))
@@ -201,8 +207,8 @@ def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", remove:
     """The rows with all spans replaced in ``text``: fixed kinds by their tag, revealing terms by their shape or nothing."""
     tables = tables or Tables(docs.sparkSession, "pii")
     found = tables.write(find(docs, key=key, text=text), "spans")
-    revealing = tables.write(revealing_terms(docs, found, tables, key=key, text=text, **limits), "revealing")
-    terms = term_spans(docs, found, revealing, key=key, text=text).select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.transform("terms", lambda x: F.struct(x["term"], (x["disclosure"] >= remove).alias("gone"))).alias("_terms"))
+    revealing = tables.write(revealing_terms(docs, found, tables, text=text, **limits), "revealing")
+    terms = revealed_rows(found, revealing, tables).select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.transform("terms", lambda x: F.struct(x["term"], (x["disclosure"] >= remove).alias("gone"))).alias("_terms"))
     joined = docs.join(terms, docs[key].eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
     body = F.col(text)
     for no, (kind, pattern, needle) in enumerate(KINDS):
