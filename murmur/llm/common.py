@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -27,11 +28,37 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Batches of so many rows go to Python for the jobs that run inside: rows with whole sets or texts are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else (``lower`` also maps other scripts)."""
     return F.translate(text, UPPER, LOWER)
 
 
+#: Ids are broadcast up to this many (some ten MB); more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def small(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids``, to be broadcast if its rows, which are counted, are few."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (a written table of the column ``key``); null ids stay."""
+    return docs.join(small(gone.select(key).distinct()), key, "left_anti").select(docs.columns)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir, or a temporary one where unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -15,10 +15,12 @@ set has never become tables. Links are found in steps that stay linear in a buck
 2. In all tables, only buckets in which several components meet are looked at further.
    Up to ``bucket`` members, all pairs across components are candidates; pairs that share
    under ``least_tables`` tables are dropped (one in a million true links at most).
-3. Members of larger such buckets go through an exact join instead: a link of similarity
+3. Members of larger such buckets are compared exactly instead: a link of similarity
    t needs a common shingle among the rarest (1 - t) share of both sets, ordered by how
    many sets have a shingle, so a line, passage or word pair that thousands of texts have
-   brings no candidates.
+   joins nothing. Sets that are connected by such shingles form a group; a group is dealt
+   out in blocks by size class, and each task multiplies two blocks of at most ``BLOCK``
+   sets or so. No pair leaves a task but one link for two components that it connects.
 
 All candidates are verified on their full sets. Links inside one component are not looked
 for: they change no component.
@@ -39,10 +41,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Tables
+from murmur.llm.common import Tables, arrow_batches, small, without
 from murmur.llm.graph import components
 
-_MEMO_WORDS = 400_000
+BLOCK = 128
+_MEMO_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,14 +136,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: tuple[int, int, int]) ->
                 sets = [own.shingles(t) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
-    return docs.join(wanted.select("d").distinct(), "d", "left_semi").dropDuplicates(["d"]).mapInArrow(run, "d bigint, n bigint, shingles binary")
+    return docs.join(small(wanted.select("d").distinct()), "d", "left_semi").mapInArrow(run, "d bigint, n bigint, shingles binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, settings: tuple[int, int, int], percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked: 100 |A & B| >= percent |A | B|."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("d"))
-    sets = _sets(docs, ids, settings)
-    side = lambda name: sets.select(F.col("d").alias(name), F.col("shingles").alias(f"{name}_set"))
+    side = lambda name: _sets(docs, pairs.select(F.col(name).alias("d")), settings).select(F.col("d").alias(name), F.col("shingles").alias(f"{name}_set"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -160,29 +161,73 @@ def _sized(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
-def _prefix_pairs(docs: DataFrame, members: DataFrame, tables: Tables, settings: tuple[int, int, int], percent: int) -> DataFrame:
-    """(a, b) of members (rep, comp, n) of different components that share a rare shingle."""
+def _block_links(docs: DataFrame, members: DataFrame, tables: Tables, settings: tuple[int, int, int], percent: int) -> DataFrame:
+    """Links (a, b) between members (rep, comp, n) of different components, at least one for any two that have one."""
     schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
 
-    def run(batches):
+    def spread(batches):
         for batch in batches:
             for d, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = np.frombuffer(s.as_buffer(), np.int64)
                 yield pa.record_batch([pa.array(np.full(len(own), d)), pa.array(np.full(len(own), n)), pa.array(own)], schema=schema)
 
     sets = _sets(docs, members.select(F.col("rep").alias("d")), settings)
-    spread = sets.mapInArrow(run, "d bigint, n bigint, shingle bigint")
-    common = spread.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    # A shingle that one set alone has brings no pair, but it takes a place among the rarest.
-    ranked = spread.join(common, "shingle").groupBy("d", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    own = F.col("n") - F.size("s")
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = ranked.select("d", "n", F.explode(F.slice("s", 1, F.greatest(length - own, F.lit(0)).cast("int"))).alias("x")).select("d", "n", "x.shingle")
+    single = sets.mapInArrow(spread, "d bigint, n bigint, shingle bigint")
+    common = single.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # A shingle that one set alone has connects nothing, but it takes a place among the rarest.
+    ranked = single.join(common, "shingle").groupBy("d", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
+    prefix = ranked.select("d", "n", F.explode(F.slice("s", 1, F.greatest(length, F.lit(0)).cast("int"))).alias("x")).select("d", "n", "x.shingle")
     prefix = tables.write(prefix.join(members.select(F.col("rep").alias("d"), "comp"), "d"), "prefixes")
-    meet = prefix.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
-    prefix = prefix.join(meet, "shingle", "left_semi")
-    side = lambda p, q: prefix.select("shingle", F.col("d").alias(p), F.col("n").alias(f"n{p}"), F.col("comp").alias(f"c{p}"))
-    return side("a", "").join(side("b", ""), "shingle").where(f"ca < cb AND {_sized(percent)}").select("a", "b").distinct()
+    meet = prefix.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("d").alias("head")).where("lo <> hi").select("shingle", "head")
+    stars = prefix.join(meet, "shingle").select(F.col("head").alias("a"), F.col("d").alias("b"))
+    groups = components(stars, tables, "groups").select(F.col("node").alias("d"), F.col("comp").alias("g"))
+    # Sizes of linked sets differ by a factor of t at most, so they are in the same or the next class.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
+    dealt = groups.join(members.select(F.col("rep").alias("d"), "comp", "n").distinct(), "d").withColumn("z", size_class)
+    counts = dealt.groupBy("g", "z").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    at = lambda shift, name: counts.select("g", (F.col("z") + shift).alias("z"), F.col("blocks").alias(name))
+    dealt = dealt.join(at(0, "own"), ["g", "z"]).join(at(-1, "above"), ["g", "z"], "left").join(at(1, "below"), ["g", "z"], "left")
+    block = F.pmod(F.xxhash64("d"), F.col("own")).cast("int")
+    every = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    where = F.concat(
+        F.transform(every(F.col("own")), lambda j: F.struct(F.col("z").alias("z"), F.lit(0).alias("up"), F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), (block <= j).alias("left"))),
+        F.transform(every(F.col("above")), lambda j: F.struct(F.col("z").alias("z"), F.lit(1).alias("up"), block.alias("i"), j.alias("j"), F.lit(True).alias("left"))),
+        F.transform(every(F.col("below")), lambda i: F.struct((F.col("z") - 1).alias("z"), F.lit(1).alias("up"), i.alias("i"), block.alias("j"), F.lit(False).alias("left"))),
+    )
+    dealt = dealt.select("d", "comp", "g", F.explode(where).alias("w")).select("d", "comp", "g", "w.*").join(sets.select("d", "shingles"), "d")
+    return dealt.groupBy("g", "z", "up", "i", "j").applyInArrow(lambda t: _multiply(t, percent), "a bigint, b bigint")
+
+
+def _multiply(table: pa.Table, percent: int) -> pa.Table:
+    """One link for any two components that have one between a left and a right set."""
+    d, comp = table["d"].to_numpy(), table["comp"].to_numpy()
+    left = np.array(table["left"].to_pylist(), bool)
+    right = ~left if table["up"][0].as_py() or table["i"][0].as_py() != table["j"][0].as_py() else left
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
+    rows, columns = np.flatnonzero(left), np.flatnonzero(right)
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    if len(rows) and len(columns):
+        both = np.intersect1d(np.unique(np.concatenate([sets[i] for i in rows])), np.unique(np.concatenate([sets[i] for i in columns])), assume_unique=True)
+        shared = np.zeros((len(rows), len(columns)), np.float64)
+        for at in range(0, len(both), 8192):
+            part = both[at : at + 8192]
+
+            def matrix(of: np.ndarray) -> np.ndarray:
+                m = np.zeros((len(of), len(part)), np.float32)
+                for r, i in enumerate(of):
+                    m[r, np.searchsorted(part, np.intersect1d(sets[i], part, assume_unique=True))] = 1
+                return m
+
+            shared += matrix(rows) @ matrix(columns).T
+        size = np.array([len(s) for s in sets], np.float64)
+        union = size[rows][:, None] + size[columns][None, :] - shared
+        linked = (100 * shared >= percent * union) & (comp[rows][:, None] != comp[columns][None, :])
+        for r, c in zip(*np.nonzero(linked)):
+            x, y = rows[r], columns[c]
+            out.setdefault((min(comp[x], comp[y]), max(comp[x], comp[y])), (min(d[x], d[y]), max(d[x], d[y])))
+    pairs = list(out.values())
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
 def near_duplicates(
@@ -199,6 +244,11 @@ def near_duplicates(
     tables: Tables | None = None,
 ) -> DataFrame:
     """A row for each row: ``key``, n_shingles, component_id (smallest id reachable), kept."""
+    with arrow_batches(docs.sparkSession, 512):
+        return _near_duplicates(docs, key, text, words, percent, halves, rows, bucket, least_tables, tables)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent: int, halves: int, rows: int, bucket: int, least_tables: int, tables: Tables | None) -> DataFrame:
     tables = tables or Tables(docs.sparkSession, "near-dedup")
     settings = (words, halves, rows)
     docs = docs.select(F.col(key).cast("bigint").alias("d"), F.col(text).alias("t"))
@@ -240,21 +290,26 @@ def near_duplicates(
     wide = located.select("rep", "n", "comp", keys(False).alias("key"))
     meet = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
     members = tables.write(wide.join(meet, "key"), "members")
-    small = members.where(F.col("c") <= bucket)
-    side = lambda x: small.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
+    few = members.where(F.col("c") <= bucket)
+    side = lambda x: few.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
     pairs = side("a").join(side("b"), "key").where(f"ca < cb AND {_sized(percent)}").groupBy("a", "b").agg(F.count("*").alias("c"))
     large = members.where(F.col("c") > bucket).select("rep", "n", "comp").distinct()
-    # A pair may share tables of both kinds: those that large buckets hold are left to the exact join.
-    in_large = large.select("rep")
-    both_large = pairs.join(in_large.withColumnRenamed("rep", "a"), "a", "left_semi").join(in_large.withColumnRenamed("rep", "b"), "b", "left_semi")
-    pairs = pairs.where(F.col("c") >= least_tables).select("a", "b").unionByName(both_large.select("a", "b"))
+    # A pair may share tables of both kinds: where both sets are in large buckets, step 3 compares them.
     large = tables.write(large, "large")
-    if not large.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(docs, large, tables, settings, percent))
-    candidates = tables.write(pairs.distinct().join(named.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    pairs = pairs.where(F.col("c") >= least_tables).select("a", "b")
+    candidates = tables.write(pairs.join(named.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
     links = links.unionByName(tables.write(_verified(candidates, docs, settings, percent), "links-3"))
+    if not large.isEmpty():
+        links = links.unionByName(tables.write(_block_links(docs, large, tables, settings, percent), "links-4"))
     comps = components(links, tables, "components-3")
 
     answer = sketches.select("d", "n", "sid").join(classes.select("sid", "rep"), "sid", "left").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     component = F.coalesce("comp", "rep", "d")
     return answer.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("d") == component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` with the document of the smallest id of each component alone."""
+    tables = Tables(docs.sparkSession, "near-dedup")
+    found = tables.write(near_duplicates(docs, key=key, text=text, tables=tables, **settings), "found")
+    return without(docs, found.where("NOT kept"), key)
