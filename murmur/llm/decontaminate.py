@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Tables
+from murmur.llm.common import Tables, without
 
 FILTER_GRAMS = 4_000_000
 _MEMO_WORDS = 400_000
@@ -200,3 +200,10 @@ def contaminated(
     found = rows.mapInArrow(tile, "d bigint, item string, coverage double, n_tiles bigint, tiles string")
     kind = dict(benchmark.dtypes)[item_key]
     return found.select(F.col("d").alias(key), F.col("item").cast(kind).alias(item_key), "coverage", "n_tiles", "tiles")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **settings) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item."""
+    tables = Tables(docs.sparkSession, "decontaminate")
+    found = tables.write(contaminated(docs, benchmark, key=key, tables=tables, **settings), "found")
+    return without(docs, found, key)

@@ -208,14 +208,15 @@ def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", remove:
     tables = tables or Tables(docs.sparkSession, "pii")
     found = tables.write(find(docs, key=key, text=text), "spans")
     revealing = tables.write(revealing_terms(docs, found, tables, text=text, **limits), "revealing")
-    terms = revealed_rows(found, revealing, tables).select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.transform("terms", lambda x: F.struct(x["term"], (x["disclosure"] >= remove).alias("gone"))).alias("_terms"))
-    joined = docs.join(terms, docs[key].eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
-    body = F.col(text)
-    for no, (kind, pattern, needle) in enumerate(KINDS):
-        joined = joined.withColumn(text, _replaced(body, F.lit(pattern), kind, lambda m, kind=kind: F.lit(f"[{kind.upper()}]"), needle))
-    chosen = lambda gone: F.array_join(F.transform(F.filter("_terms", lambda x: x["gone"] == gone), lambda x: x["term"]), "|")
+    terms = revealed_rows(found, revealing, tables)
+    gone = F.transform("terms", lambda x: F.struct(x["term"], (x["disclosure"] >= remove).alias("gone")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_d"), F.col(text).alias("_t"))
+    body = rows.join(terms, F.col("_d").eqNullSafe(F.col("d")) & (F.xxhash64("_t") == F.col("th")), "left").select("_row", "_t", gone.alias("_terms"))
+    for kind, pattern, needle in KINDS:
+        body = body.withColumn("_t", _replaced(F.col("_t"), F.lit(pattern), kind, lambda m: F.lit(f"[{kind.upper()}]"), needle))
+    chosen = lambda g: F.array_join(F.transform(F.filter("_terms", lambda x: x["gone"] == g), lambda x: x["term"]), "|")
     bounded = lambda p: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}\[])(?:"), p, F.lit(r")(?![\p{L}\p{N}\]])"))
-    for gone, tag in ((True, lambda m: F.lit("")), (False, _shape)):
-        pattern = chosen(gone)
-        joined = joined.withColumn(text, F.when(F.col("_terms").isNull() | (pattern == ""), body).otherwise(_replaced(body, bounded(pattern), "term", tag)))
-    return joined.select(*docs.columns)
+    for g, tag in ((True, lambda m: F.lit("")), (False, _shape)):
+        pattern = chosen(g)
+        body = body.withColumn("_t", F.when(F.col("_terms").isNull() | (pattern == ""), F.col("_t")).otherwise(_replaced(F.col("_t"), bounded(pattern), "term", tag)))
+    return body.select(F.col("_row").withField(text, F.col("_t")).alias("_row")).select("_row.*")

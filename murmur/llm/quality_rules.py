@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import SPACE_CLASS, let
+from murmur.llm.common import SPACE_CLASS, Tables, let
 
 WORD = r"[^\x20\x09-\x0D]"
 #: Characters counted as symbols.
@@ -152,3 +152,13 @@ def judge(found: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang") -> Dat
 
 
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", **risk: float) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with cutoffs fitted on the labels."""
+    tables = Tables(docs.sparkSession, "quality")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(stratum).alias("_stratum"))
+    found = tables.write(features(rows, text="_text").drop("_text"), "figures")
+    marks = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+    cutoffs = fit(found, marks, key="_key", stratum="_stratum", label="_label", **risk)
+    return judge(found, cutoffs, stratum="_stratum").where("kept").select("_row.*")

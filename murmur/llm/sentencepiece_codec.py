@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -296,15 +297,19 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, a, b = [], [], []
+                n, packed_ids, texts = [], [], []
                 for value in part.column(1).to_pylist():
                     parts = own.parts(value or "")
-                    packed = begin + b"".join(parts) + end
-                    decoded = own.decode_parts(parts)
-                    n.append(len(packed) // 4)
-                    a.append(hashlib.sha256(packed).hexdigest() if digests else list(struct.unpack(f"<{len(packed) // 4}I", packed)))
-                    b.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(a, out_schema.field(2).type), pa.array(b, pa.string())], schema=out_schema)
+                    packed_ids.append(begin + b"".join(parts) + end)
+                    texts.append(own.decode_parts(parts))
+                    n.append(len(packed_ids[-1]) // 4)
+                if digests:
+                    ids = pa.array([hashlib.sha256(p).hexdigest() for p in packed_ids], pa.string())
+                    texts = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+                else:
+                    flat = np.frombuffer(b"".join(packed_ids), "<i4")
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), ids, pa.array(texts, pa.string())], schema=out_schema)
 
     kind = "k bigint, n_tokens bigint, " + tail
     return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInArrow(run, kind).withColumnRenamed("k", key)
