@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from murmur.plans import particle_queries, sql_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**sql_queries.QUERIES, **particle_queries.QUERIES}
+ORACLES: dict[str, str] = dict(sql_queries.ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that the smoke check runs."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    """The query that the smoke check runs: the exact filter of the daily order totals."""
+    return sql_queries.kalman_loglik(spark, sf_dir)
