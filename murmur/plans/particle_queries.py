@@ -207,3 +207,11 @@ def benchmark_arma(spark, sf):
 @query
 def benchmark_negbin(spark, sf):
     return results.totals_first(profiles.benchmark(series.hourly_events(spark, sf), "n", "negbin"))
+
+
+@query
+def pfilter_yardstick(spark, sf):
+    """The baseline's own workload: one series of 100 times, 5,000 particles, 30 replicates, against the exact loglik."""
+    data, model = _daily(spark, sf, 100)
+    steps = inference.pfilter(data, model, theta.from_dicts(spark, [START]), particles=5000, reps=30)
+    return results.filter_results(inference.logliks(steps))
