@@ -16,7 +16,7 @@ _SHIFT = 8
 
 
 def lgamma(x) -> np.ndarray:
-    """log |gamma(x)| for x > 0: shifted up until the Stirling series is exact to double precision; infinite at 0 and below."""
+    """log |gamma(x)| for x > 0: shifted up until the Stirling series is good to 1e-12; infinite at 0 and below."""
     if isinstance(x, Dual):
         return Dual(lgamma(x.v), digamma(x.v)[..., None] * x.d)
     x = np.asarray(x, float)

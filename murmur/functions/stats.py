@@ -32,10 +32,15 @@ def logmeanexp(df: DataFrame, by: list[str], x: str, *, ignore_nan: bool = False
     rows = df.where(~F.isnan(value) & value.isNotNull()) if ignore_nan else df
     top = F.max(value).over(Window.partitionBy(*by))
     shift = F.when((top == float("-inf")) | F.isnan(top), 0.0).otherwise(top)
-    scaled = rows.select(*by, shift.alias("_m"), F.exp(value - shift).alias("_e"))
+    scaled = rows.select(*by, shift.alias("_m"), F.exp(value - shift).alias("_e"), value.alias("_x"))
     total, n = F.sum("_e").over(Window.partitionBy(*by)), F.count("*").over(Window.partitionBy(*by))
-    left = scaled.select(*by, "_m", "_e", total.alias("_s"), n.alias("_n"))
-    jack = left.select(*by, "_m", "_e", "_s", "_n", F.log((F.col("_s") - F.col("_e")) / (F.col("_n") - 1)).alias("_j"))
+    left = scaled.select(*by, "_m", "_e", "_x", total.alias("_s"), n.alias("_n"), F.max(F.when(F.col("_e") < 1, F.col("_x"))).over(Window.partitionBy(*by)).alias("_next"))
+    # Where the largest value outweighs all others beyond double precision, leaving it out needs a shift by the next one.
+    rest = F.sum(F.when(F.col("_e") < 1, F.exp(F.col("_x") - F.col("_next")))).over(Window.partitionBy(*by))
+    others = F.nullif(F.col("_n") - 1, F.lit(0))
+    part = F.col("_s") - F.col("_e")
+    one_out = F.when(part > 0, F.log(part / others)).otherwise(F.col("_next") - F.col("_m") + F.log(rest / others))
+    jack = left.select(*by, "_m", "_e", "_s", "_n", one_out.alias("_j"))
     return jack.groupBy(*by).agg(
         (F.first("_m") + F.coalesce(F.log(F.first("_s") / F.first("_n")), F.lit(float("-inf")))).alias("lme"),
         F.first("_n").alias("n"),

@@ -107,5 +107,7 @@ def unit_parameters(shared: DataFrame, unit: DataFrame, units: DataFrame) -> Dat
 
 
 def same(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables hold the same rows, repetitions included."""
+    """Whether two tables hold the same rows, repetitions included; maps are compared by their entries."""
+    plain = lambda df: df.select(*[F.array_sort(F.map_entries(c)).alias(c) if kind.startswith("map") else F.col(c) for c, kind in df.dtypes])
+    a, b = plain(a), plain(b)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

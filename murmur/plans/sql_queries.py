@@ -374,9 +374,9 @@ def euler_multinom_probs(spark, sf):
     return rounded(lines.select("l_orderkey", F.col("l_linenumber"), *[p.alias(f"p{i}") for i, p in enumerate(exits)], stay.alias("stay")), 9)
 
 
-@query("SELECT l_orderkey, l_linenumber, round(ln(l_quantity), 9) AS log_q, round(ln(x / (1 - x)), 9) AS logit_x, round(x, 9) AS back FROM (SELECT *, (l_discount + 0.01) / 0.2 AS x FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, round(ln(l_quantity), 9) AS log_q, round(ln(x / (1 - x)), 9) AS logit_x, round(x, 9) AS back FROM (SELECT *, (l_discount + 0.013) / 0.2 AS x FROM lineitem)")
 def transform_roundtrip(spark, sf):
-    x = (F.col("l_discount") + 0.01) / 0.2
+    x = (F.col("l_discount") + 0.013) / 0.2
     return rounded(series.read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.log("l_quantity").alias("log_q"), stats.logit(x).alias("logit_x"), stats.expit(stats.logit(x)).alias("back")), 9)
 
 
