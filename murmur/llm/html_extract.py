@@ -234,7 +234,7 @@ def path_ratios(blocks: list[tuple[tuple, str, int]], sigma: float = 1.0) -> dic
         own[0] += 1
         own[1] += len(text)
         own[2] += len(_PUNCTUATION.findall(text))
-        own[3] += 0 if path and path[-1][:2] in _HEADINGS else linked
+        own[3] += 0 if len(path) > 1 and path[-1][:2] in _HEADINGS else linked
     raw = {p: math.log1p(length / n) * (1 + math.log1p(marks / n)) for p, (n, length, marks, _) in total.items()}
     fused = {}
     for p, (_, length, _, linked) in total.items():

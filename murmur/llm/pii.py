@@ -168,10 +168,10 @@ def term_spans(docs: DataFrame, revealed: DataFrame, *, key: str = "doc_id", tex
     return texts.withColumn("p", pattern).select("d", "th", _spans(F.col("t"), F.col("p"), len(KINDS), "term").alias("extra"))
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tables: Tables | None = None, **limits) -> DataFrame:
+def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int = 6, reach: int = 120, tables: Tables | None = None, **limits) -> DataFrame:
     """A row for each row: ``key``, n_<kind> of the fixed kinds, base_sha256, spans (all, as text)."""
     tables = tables or Tables(docs.sparkSession, "pii")
-    found = tables.write(find(docs, key=key, text=text), "spans")
+    found = tables.write(find(docs, key=key, text=text, near=near, reach=reach), "spans")
     revealing = tables.write(revealing_terms(docs, found, tables, text=text, **limits), "revealing")
     extra = term_spans(docs, revealed_rows(found, revealing, tables), key=key, text=text)
     joined = found.alias("f").join(extra.alias("x"), F.expr("f.d <=> x.d AND f.th = x.th"), "left").select("f.d", "spans", "extra")
@@ -191,7 +191,8 @@ def _replaced(text: Column, pattern: Column, kind: str, tag, needle: str | None
 
     def of(matches: Column) -> Column:
         def build(gaps: Column) -> Column:
-            return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.when(valid(kind, F.get(matches, i)), tag(F.get(matches, i))).otherwise(F.get(matches, i)), F.lit("")))), "")
+            put = lambda m: F.when(m.isNull(), "").when(valid(kind, m), tag(m)).otherwise(m)  # noqa: E731  no match follows the last gap
+            return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, put(F.get(matches, i)))), "")
 
         return F.when(F.size(matches) == 0, text).otherwise(let(F.split(text, pattern, F.lit(-1)), build))
 
@@ -203,10 +204,10 @@ def _shape(value: Column) -> Column:
     return F.when(F.rlike(value, F.lit("^[0-9]+$")), "[NUMBER]").when(F.rlike(value, F.lit(r"^\p{Lu}")), "[NAME]").otherwise("[WORD]")
 
 
-def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", remove: float = 0.97, tables: Tables | None = None, **limits) -> DataFrame:
+def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", remove: float = 0.97, near: int = 6, reach: int = 120, tables: Tables | None = None, **limits) -> DataFrame:
     """The rows with all spans replaced in ``text``: fixed kinds by their tag, revealing terms by their shape or nothing."""
     tables = tables or Tables(docs.sparkSession, "pii")
-    found = tables.write(find(docs, key=key, text=text), "spans")
+    found = tables.write(find(docs, key=key, text=text, near=near, reach=reach), "spans")
     revealing = tables.write(revealing_terms(docs, found, tables, text=text, **limits), "revealing")
     terms = revealed_rows(found, revealing, tables)
     gone = F.transform("terms", lambda x: F.struct(x["term"], (x["disclosure"] >= remove).alias("gone")))
