@@ -41,3 +41,55 @@ WITH rest AS (
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {hit} THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best USING (n)
 """
+
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 3, 1))) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(low, w.doc_id)) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id
+"""
+
+
+def quality_sql(rules: tuple[tuple[str, tuple[float, ...]], ...], alpha: float = 0.02, delta: float = 0.05, cost: float = 1.0) -> str:
+    """Figures, base rules and the cutoffs that the exact binomial tail admits."""
+    figure = {
+        "symbol_share": "n_symbols / greatest(n_words, 1)",
+        "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+        "word_length_excess": "abs(word_chars / greatest(n_words, 1) - 5.5)",
+    }
+    cuts = ", ".join(f"({r}, {c})" for r, (_, own) in enumerate(rules) for c in own)
+    total = sum(len(own) for _, own in rules)
+    value = "CASE rule " + " ".join(f"WHEN {r} THEN {figure[name]}" for r, (name, _) in enumerate(rules)) + " END"
+    p = alpha / len(rules)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), g AS (SELECT row, i, array_to_string(ws[i + 1:i + 8], ' ') AS gram FROM (SELECT row, ws, unnest(range(len(ws) - 7)) AS i FROM d WHERE len(ws) > 7)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, gram) AS c FROM g) WHERE c > 1),
+rep AS (SELECT row, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest(range(8)) AS j) GROUP BY row),
+f AS (
+  SELECT row, doc_id, lang, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (row)
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+cuts(rule, cut) AS (VALUES {cuts}),
+known AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+m AS (SELECT lang, rule, cut, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND {value} > cut) AS k, count(*) FILTER (good = 0 AND {value} > cut) AS bad FROM b JOIN known USING (doc_id), cuts WHERE NOT base_failed GROUP BY ALL),
+z AS (SELECT count(DISTINCT coalesce(lang, chr(0))) AS strata FROM m),
+tail AS (SELECT *, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END AS tail FROM m, z),
+chosen AS (SELECT lang, rule, max(struct_pack(gain := bad - {cost} * k, cut := cut)).cut AS cut FROM tail WHERE n > 0 AND tail <= {delta} / (strata * {total}) GROUP BY lang, rule),
+gone AS (SELECT DISTINCT row FROM b JOIN chosen ON b.lang IS NOT DISTINCT FROM chosen.lang WHERE {value} > cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND row NOT IN (SELECT row FROM gone) AS kept FROM b
+"""

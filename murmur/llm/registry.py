@@ -102,4 +102,6 @@ ORACLES: dict[str, str] = {
     "op4_chat_format": oracles.CHAT_FORMAT,
     "op5_license_scan": license_scan.oracle(),
     "op6_url_rules": oracles.url_rules_sql(HOST_RULES, BLOCKED_LABELS, [t for t in BLOCKED_SEGMENTS if t.isalnum()], BLOCKED_EXTENSIONS),
+    "op7_near_dedup": oracles.NEAR_DEDUP,
+    "op10_quality_rules": oracles.quality_sql(quality_rules.RULES),
 }
