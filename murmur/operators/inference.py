@@ -136,6 +136,15 @@ def abc(data: DataFrame, model: Model, theta: DataFrame, *, iterations: int, pro
     return _run(_jobs(data, theta, chains), model, _traced("iteration int, distance double, log_prior double, accepted boolean", model), job, seed)
 
 
+def mop(data: DataFrame, model: Model, theta: DataFrame, *, particles: int, alpha: float = 0.97, dpop: bool = False, reps: int = 1, seed: int = 1) -> DataFrame:
+    """(series_id, theta_idx, rep, loglik) by off-parameter weights; with dpop the process's own density counts too."""
+    def job(m, th, s, rng):
+        est = {k: float(v) for k, v in m.transform.to_est(th).items()}
+        return [{"loglik": -len(s.times) * float(kernels.mop(m, est, s, particles, alpha, rng, dpop=dpop))}]
+
+    return _run(_jobs(data, theta, reps), model, "loglik double", job, seed)
+
+
 def train(data: DataFrame, model: Model, theta: DataFrame, *, particles: int, iterations: int, rates: np.ndarray, names: list[str], optimizer: str = "Adam", alpha: float = 0.97, dpop: bool = False, seed: int = 1) -> DataFrame:
     """Gradient training: (series_id, theta_idx, rep, iteration, loglik, parameters...)."""
     def job(m, th, s, rng):

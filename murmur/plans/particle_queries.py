@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.functions import splines
 from murmur.functions.optimizers import learning_rates
 from murmur.functions.proposals import AdaptiveWalk, DiagonalWalk
 from murmur.operators import grid, inference, models, profiles, results, theta
@@ -147,6 +148,18 @@ def panel_mif_unblocked(spark, sf):
     return inference.panel_mif(data, model, *_panel_starts(spark, sf), particles=100, iterations=3, perturbation=WALK, block=False)
 
 
+@query
+def mop_loglik(spark, sf):
+    data, model = _daily(spark, sf)
+    return results.filter_results(inference.mop(data, model, theta.from_dicts(spark, [START]), particles=1000, reps=4))
+
+
+@query
+def covar_spline(spark, sf):
+    by_unit = series.monthly_by_nation(spark, sf)
+    return splines.smoothed(by_unit.select("series_id", (F.col("time") + 0.5).alias("t")), series.monthly_by_nation(spark, sf), "y", lam=5.0)
+
+
 def _rates(m: int) -> np.ndarray:
     return learning_rates({"A11": 0.05, "Q11": 0.05, "R11": 0.05}, ["A11", "Q11", "R11"], m)
 

@@ -148,3 +148,31 @@ def test_models_report_mistakes_on_the_driver():
     broken = models.linear_gaussian().with_functions(rproc=lambda x, *a: {"Z": x["X1"]})
     with pytest.raises(ValueError):
         broken.tried(TRUE)
+
+
+def test_quantile_samplers():
+    from murmur.functions import quantiles as Q
+
+    u = (np.arange(4000) + 0.5) / 4000
+    assert abs(Q.poisson(u, 7.0).mean() - 7) < 0.01 and abs(Q.poisson(u, 7.0).var() - 7) < 0.1
+    assert abs(Q.binomial(u, 20, 0.3).mean() - 6) < 0.01 and abs(Q.gamma(u, 2.5).mean() - 2.5) < 0.02 and abs(Q.gamma(u, 0.2).mean() - 0.2) < 0.01
+    assert Q.poisson(0.5, -1.0) == -1 and Q.poisson(0.5, 0.0) == 0 and Q.binomial(0.5, 5, 2.0) == -1 and np.isnan(Q.gamma(0.5, -1.0))
+    assert (Q.binomial(u[:5], 9, 1.0) == 9).all() and (Q.binomial(u[:5], 9, 0.0) == 0).all()
+    g = np.random.default_rng(0)
+    counts = Q.multinomial(g.random((3000, 2)), 12, np.array([[1.0, 2.0, 3.0]]))
+    assert (counts.sum(axis=1) == 12).all() and np.allclose(counts.mean(axis=0), [2, 4, 6], atol=0.15)
+    assert abs(Q.negative_binomial(g.random(4000), g.random(4000), 3.0, mu=6.0).mean() - 6) < 0.3
+    assert Q.normal(np.array([0.025, 0.5, 0.975])) == pytest.approx([-1.959964, 0, 1.959964], abs=1e-6)
+    with pytest.raises(ValueError):
+        Q.negative_binomial(0.5, 0.5, 1.0)
+
+
+def test_splines_interpolate_smooth_and_go_on_as_lines():
+    from murmur.functions.splines import smoothing_spline
+
+    x = np.linspace(0, 3, 13)
+    assert np.allclose(smoothing_spline(x, np.sin(x), x), np.sin(x))
+    line = smoothing_spline(x, 2 * x + 1, np.array([-5.0, 1.1, 9.0]), lam=3.0)
+    assert np.allclose(line, [-9, 3.2, 19])
+    flat = smoothing_spline(x, np.sin(x), x, lam=1e9)
+    assert np.allclose(flat, np.polyval(np.polyfit(x, np.sin(x), 1), x), atol=1e-4)

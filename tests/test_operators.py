@@ -128,6 +128,17 @@ def test_sources_round_trip(spark, tmp_path):
     assert series.read_csv(spark, f"file://{tmp_path}/x.csv", "time double, y double").first().y == 2.5
 
 
+def test_models_come_back_from_disk(spark, tmp_path):
+    from murmur.sources import model_store
+
+    sets = theta.from_dicts(spark, [START])
+    model_store.save(f"file://{tmp_path}/m", "linear_gaussian", {"dx": 1, "dy": 1}, {"theta": sets})
+    model, tables = model_store.load(spark, f"file://{tmp_path}/m")
+    assert model.parameters == linear_gaussian().parameters and theta.same(tables["theta"], sets)
+    with pytest.raises(KeyError):
+        model_store.save(f"file://{tmp_path}/m", "unknown", {}, {"theta": sets})
+
+
 @pytest.mark.parametrize("name", sorted(particle_queries.QUERIES))
 def test_particle_queries_have_rows(spark, name):
     if name == "pfilter_yardstick":
