@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm import decontaminate, near_dedup, pii, quality_rules, sentencepiece_codec
-from murmur.llm.common import Tables, table
+from murmur.llm.common import Tables, lean, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of a shingle and per cent of similarity that make two documents near duplicates.
@@ -16,26 +16,31 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    lean(spark)
     return quality_rules.keep(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    lean(spark)
     return near_dedup.one_of_each(docs.select(COLUMNS), words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    lean(spark)
     return decontaminate.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that reveal it are replaced; n_chars follows the text."""
+    lean(spark)
     return pii.redact(docs.select(COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), "n_chars"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, with begin and end, and the text that they decode to."""
+    lean(spark)
     return sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

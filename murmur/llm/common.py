@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,36 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: What the operators' Python code remembers in a worker process: owner -> (function that forgets it), and whose turn it is.
+_MEMORIES: dict[str, Callable[[], object]] = {}
+_TURN = [""]
+
+
+def remember(owner: str, forget: Callable[[], object]) -> None:
+    """To be called where a module's memo tables are made."""
+    _MEMORIES[owner] = forget
+
+
+def only(owner: str) -> None:
+    """Spark reuses workers from one operator to the next: the tables of all others are emptied, and their memory is given back."""
+    if _TURN[0] == owner:
+        return
+    _TURN[0] = owner
+    for name, forget in _MEMORIES.items():
+        if name != owner:
+            forget()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can't, memory is reused all the same
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on, at most so many rows go to Python at once: whole texts are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(rows, before) if before > 0 else rows)
+
+
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """Batches of so many rows go to Python for the jobs that run inside: rows with whole sets or texts are large."""
@@ -72,7 +105,7 @@ class Tables:
     """Written intermediate tables of one operator call, in the shared folder.
 
     A written table cuts lineage, outlives executors and is read as often as wanted.
-    ``drop`` removes what no later step reads.
+    ``keep`` removes what no later step reads.
     """
 
     def __init__(self, spark: SparkSession, owner: str):
@@ -88,8 +121,10 @@ class Tables:
     def read(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def drop(self, *names: str) -> None:
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these: what no later step reads."""
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in files.listStatus(base):
+            if status.getPath().getName() not in names:
+                files.delete(status.getPath(), True)

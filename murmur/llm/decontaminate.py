@@ -12,7 +12,8 @@ it, since tiles may lie anywhere.
 The seeds' hashes filter document grams inside the tasks where a benchmark has at most
 ``FILTER_GRAMS`` of them (8 bytes each); beyond it, all grams go into the join.
 
-Defined results: null or empty texts and items match nothing; items shorter than k words
+Defined results: null or empty texts and items match nothing; rows without an id are not
+reported and stay; items shorter than k words
 are never matched; rows that repeat a doc_id and text are reported once a pair; items that
 repeat are reported each; extra columns are ignored.
 """
@@ -27,14 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Tables, without
+from murmur.llm.common import Tables, only, remember, without
 
 FILTER_GRAMS = 4_000_000
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 150_000
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 _memo: dict[str, int] = {}
+remember("decontaminate", _memo.clear)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -140,6 +142,7 @@ def contaminated(
     seed_schema = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("dpos", pa.int32()), ("h", pa.int64())])
 
     def read_docs(batches):
+        only("decontaminate")
         sorted_grams = sieve.value if sieve is not None else None
         bits = None
         if sorted_grams is not None:
@@ -156,12 +159,12 @@ def contaminated(
                         spot = np.minimum(np.searchsorted(sorted_grams, own[at]), len(sorted_grams) - 1)
                         at = at[sorted_grams[spot] == own[at]]
                 if len(at):
-                    ids.append(np.full(len(at), d, np.int64) if d is not None else np.zeros(len(at), np.int64))
+                    ids += [d] * len(at)
                     hashes.append(np.full(len(at), th, np.int64))
                     places.append(at.astype(np.int32))
                     grams_found.append(own[at])
             if ids:
-                yield pa.record_batch([np.concatenate(x) for x in (ids, hashes, places, grams_found)], schema=seed_schema)
+                yield pa.record_batch([pa.array(ids, pa.int64()), *[np.concatenate(x) for x in (hashes, places, grams_found)]], schema=seed_schema)
 
     rows = docs.select(F.col(key).cast("bigint"), F.xxhash64(text), F.col(text).alias("t"))
     seeds = tables.write(rows.mapInArrow(read_docs, "d bigint, th bigint, dpos int, h bigint"), "seeds")

@@ -40,4 +40,4 @@ def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
         left = edges.join(at("a"), "a").join(at("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b")
         turn += 1
         edges = tables.write(left.distinct(), f"{name}-edges-{turn}")
-    return known if known is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    return tables.write(known if known is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp")), name)

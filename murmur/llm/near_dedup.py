@@ -14,11 +14,12 @@ set has never become tables. Links are found in steps that stay linear in a buck
    the partners that are not connected to it yet. Connected components join what is linked.
 2. In all tables, only buckets in which several components meet are looked at further.
    Up to ``bucket`` members, all pairs across components are candidates; pairs that share
-   under ``least_tables`` tables are dropped (one in a million true links at most).
+   under ``least_tables`` tables are dropped (one in a million true links at most), and so
+   are sets that are in fewer such buckets.
 3. Members of larger such buckets are compared exactly instead: a link of similarity
-   t needs a common shingle among the rarest (1 - t) share of both sets, ordered by how
-   many sets have a shingle, so a line, passage or word pair that thousands of texts have
-   joins nothing. Sets that are connected by such shingles form a group; a group is dealt
+   t needs a common shingle among the first (1 - t) share of both sets in any one order of
+   shingles; here those that many sets have come last, so a line, passage or word pair that
+   thousands of texts have joins nothing. Sets that are connected by such shingles form a group; a group is dealt
    out in blocks by size class, and each task multiplies two blocks of at most ``BLOCK``
    sets or so. No pair leaves a task but one link for two components that it connects.
 
@@ -41,10 +42,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Tables, arrow_batches, small, without
+from murmur.llm.common import Tables, arrow_batches, only, remember, small, without
 from murmur.llm.graph import components
 
 BLOCK = 128
+#: So many of the most common shingles are told to every task (8 bytes each); with more, the least common of them count as rare.
+COMMON_SHINGLES = 1_000_000
 _MEMO_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,6 +107,8 @@ _SKETCHERS: dict[tuple, Sketcher] = {}
 def _sketcher(*settings: int) -> Sketcher:
     if settings not in _SKETCHERS:
         _SKETCHERS[settings] = Sketcher(*settings)
+        remember("near-dedup", lambda: [s.memo.clear() for s in _SKETCHERS.values()])
+    only("near-dedup")
     return _SKETCHERS[settings]
 
 
@@ -124,6 +129,10 @@ def _sketch(docs: DataFrame, settings: tuple[int, int, int]) -> DataFrame:
     return docs.mapInArrow(run, "d bigint, n bigint, sid binary, halves array<bigint>")
 
 
+def _wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    return docs.join(small(wanted.select("d").distinct()), "d", "left_semi")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, settings: tuple[int, int, int]) -> DataFrame:
     """(d, n, shingles as bytes) of the wanted documents."""
     schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
@@ -131,12 +140,45 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: tuple[int, int, int]) ->
     def run(batches):
         own = _sketcher(*settings)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [own.shingles(t) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            sets = [own.shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+
+    return _wanted(docs, wanted).mapInArrow(run, "d bigint, n bigint, shingles binary")
+
+
+def _single_shingles(docs: DataFrame, wanted: DataFrame, settings: tuple[int, int, int]) -> DataFrame:
+    """(d, n, shingle): a row for each shingle of the wanted documents."""
+    schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches):
+        own = _sketcher(*settings)
+        for batch in batches:
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = own.shingles(t).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array(np.full(len(s), len(s))), pa.array(s)], schema=schema)
 
-    return docs.join(small(wanted.select("d").distinct()), "d", "left_semi").mapInArrow(run, "d bigint, n bigint, shingles binary")
+    return _wanted(docs, wanted).mapInArrow(run, "d bigint, n bigint, shingle bigint")
+
+
+def _rarest(docs: DataFrame, wanted: DataFrame, common: list[int], settings: tuple[int, int, int], percent: int) -> DataFrame:
+    """(d, n, shingle): the shingles of each wanted document one of which a linked one must have, ``common`` ones last."""
+    schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+    last = docs.sparkSession.sparkContext.broadcast((np.sort(np.array(common, np.int64)), np.argsort(np.array(common, np.int64))))
+
+    def run(batches):
+        own = _sketcher(*settings)
+        ordered, rank = last.value
+        for batch in batches:
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = own.shingles(t).view(np.int64)
+                n = len(s)
+                if len(ordered) and n:
+                    spot = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
+                    s = s[np.argsort(np.where(ordered[spot] == s, rank[spot] + 1, 0), kind="stable")]
+                s = s[: n - -(-n * percent // 100) + 1]
+                yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array(np.full(len(s), n)), pa.array(s)], schema=schema)
+
+    return _wanted(docs, wanted).mapInArrow(run, "d bigint, n bigint, shingle bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, settings: tuple[int, int, int], percent: int) -> DataFrame:
@@ -153,7 +195,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, settings: tuple[int, int, int],
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a bigint, b bigint")
+    # Merge joins: with a broadcast, a task would run the Python of a side and of the comparison at once, in twice the workers.
+    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a bigint, b bigint")
 
 
 def _sized(percent: int) -> str:
@@ -163,21 +206,18 @@ def _sized(percent: int) -> str:
 
 def _block_links(docs: DataFrame, members: DataFrame, tables: Tables, settings: tuple[int, int, int], percent: int) -> DataFrame:
     """Links (a, b) between members (rep, comp, n) of different components, at least one for any two that have one."""
-    schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
-
-    def spread(batches):
-        for batch in batches:
-            for d, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                own = np.frombuffer(s.as_buffer(), np.int64)
-                yield pa.record_batch([pa.array(np.full(len(own), d)), pa.array(np.full(len(own), n)), pa.array(own)], schema=schema)
-
-    sets = _sets(docs, members.select(F.col("rep").alias("d")), settings)
-    single = sets.mapInArrow(spread, "d bigint, n bigint, shingle bigint")
-    common = single.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    # A shingle that one set alone has connects nothing, but it takes a place among the rarest.
-    ranked = single.join(common, "shingle").groupBy("d", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    prefix = ranked.select("d", "n", F.explode(F.slice("s", 1, F.greatest(length, F.lit(0)).cast("int"))).alias("x")).select("d", "n", "x.shingle")
+    rarest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1  # a link has one of so many of the rarest in common
+    ids = members.select(F.col("rep").alias("d"), "n")
+    # A set with as many shingles that no other has is linked with none. Their only holder is known without a join.
+    lone = _single_shingles(docs, ids, settings).groupBy("shingle").agg(F.count("*").alias("df"), F.min("d").alias("d")).where("df = 1")
+    own = lone.groupBy("d").agg(F.count("*").alias("own"))
+    left = tables.write(ids.join(own, "d", "left").where(F.coalesce("own", F.lit(0)) < rarest).select("d"), "left")
+    members = members.join(left.withColumnRenamed("d", "rep"), "rep", "left_semi")
+    sets = _sets(docs, left, settings)
+    # Common shingles come last, by how many sets have them; the others in the order of their hashes. Any one order is exact.
+    df = _single_shingles(docs, left, settings).groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK)
+    common = [r["shingle"] for r in df.orderBy(F.desc("df"), "shingle").limit(COMMON_SHINGLES).collect()][::-1]
+    prefix = _rarest(docs, left, common, settings, percent)
     prefix = tables.write(prefix.join(members.select(F.col("rep").alias("d"), "comp"), "d"), "prefixes")
     meet = prefix.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("d").alias("head")).where("lo <> hi").select("shingle", "head")
     stars = prefix.join(meet, "shingle").select(F.col("head").alias("a"), F.col("d").alias("b"))
@@ -293,7 +333,9 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
     few = members.where(F.col("c") <= bucket)
     side = lambda x: few.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
     pairs = side("a").join(side("b"), "key").where(f"ca < cb AND {_sized(percent)}").groupBy("a", "b").agg(F.count("*").alias("c"))
-    large = members.where(F.col("c") > bucket).select("rep", "n", "comp").distinct()
+    # A set with a link to another component meets its partner in so many of these buckets, large or small.
+    met = members.groupBy("rep", "n", "comp").agg(F.count("*").alias("met"), F.max("c").alias("largest"))
+    large = met.where((F.col("largest") > bucket) & (F.col("met") >= least_tables)).select("rep", "n", "comp")
     # A pair may share tables of both kinds: where both sets are in large buckets, step 3 compares them.
     large = tables.write(large, "large")
     pairs = pairs.where(F.col("c") >= least_tables).select("a", "b")
@@ -302,6 +344,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
     if not large.isEmpty():
         links = links.unionByName(tables.write(_block_links(docs, large, tables, settings, percent), "links-4"))
     comps = components(links, tables, "components-3")
+    tables.keep("sketches", "components-3")
 
     answer = sketches.select("d", "n", "sid").join(classes.select("sid", "rep"), "sid", "left").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     component = F.coalesce("comp", "rep", "d")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import SPACE_CLASS, Tables, let
+from murmur.llm.common import SPACE_CLASS, Tables, let, small
 
 WORD = r"[^\x20\x09-\x0D]"
 #: Characters counted as symbols.
@@ -140,8 +140,8 @@ def fit(found: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: st
 def judge(found: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang") -> DataFrame:
     """``found`` with kept: neither the base rules nor a chosen cutoff reject the document.
 
-    ``cutoffs`` has a row a stratum. Spark broadcasts it where it is as small as a category
-    of few values makes it, and joins by shuffle otherwise.
+    ``cutoffs`` has a row a stratum; callers broadcast it where it is as small as a category
+    of few values makes it.
     """
     figures = _figures()
     joined = found.join(cutoffs, F.col(stratum).eqNullSafe(F.col("_s")), "left")
@@ -160,5 +160,5 @@ def keep(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(stratum).alias("_stratum"))
     found = tables.write(features(rows, text="_text").drop("_text"), "figures")
     marks = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label"))
-    cutoffs = fit(found, marks, key="_key", stratum="_stratum", label="_label", **risk)
+    cutoffs = small(tables.write(fit(found, marks, key="_key", stratum="_stratum", label="_label", **risk), "cutoffs"))
     return judge(found, cutoffs, stratum="_stratum").where("kept").select("_row.*")

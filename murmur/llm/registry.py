@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm import chat_format, decontaminate, html_extract, license_scan, near_dedup, oracles, pii, quality_rules, sentencepiece_codec, span_dedup, url_rules
-from murmur.llm.common import Tables, table
+from murmur.llm.common import Tables, small, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -82,7 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     tables = Tables(spark, "op10")
     found = tables.write(quality_rules.features(docs).drop("text"), "figures")
-    cutoffs = quality_rules.fit(found, table(spark, sf_dir, "labels"))
+    cutoffs = small(tables.write(quality_rules.fit(found, table(spark, sf_dir, "labels")), "cutoffs"))
     return quality_rules.judge(found, cutoffs).select("doc_id", *quality_rules.FIGURES, "kept")
 
 

@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmur.llm.common import only, remember
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of the memo tables of one Python worker; a full table is emptied.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 _REPLACEMENT = "�"
 
 
@@ -132,9 +134,13 @@ class Codec:
         self.automaton.make_automaton()
         self.chunked = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.compatible = _Memo(self._compatible)
-        self.chunk_ids = _Memo(lambda chunk: self._pack(self.encode_chunk(chunk)))
-        self.word_ids = _Memo(lambda word: self._pack(self.encode_chunk(MARK + word)))
-        self.chunk_text = _Memo(lambda packed: self.decode(struct.unpack(f"<{len(packed) // 4}I", packed), False))
+        #: Of a chunk, and of a word that follows one space: (ids packed little-endian, the text that they decode to).
+        self.chunks = _Memo(lambda chunk: self._both(self.encode_chunk(chunk)))
+        self.words = _Memo(lambda word: self._both(self.encode_chunk(MARK + word)))
+
+    def forget(self) -> None:
+        for memo in (self.chunks, self.words, self.compatible):
+            memo.clear()
 
     def merge(self, text: str) -> list[str]:
         """The merge rule itself: the best-scored adjacent pair that is a piece, the leftmost of equals, again and again."""
@@ -204,25 +210,37 @@ class Codec:
                 out.append(i)
         return out
 
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _both(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids, False)
+
+    def parts(self, text: str) -> list[tuple[bytes, str]]:
+        """The packed ids of a text and what they decode to, chunk by chunk, without begin and end.
 
-    def parts(self, text: str) -> list[bytes]:
-        """The ids of a text in order, packed little-endian, chunk by chunk, without begin and end."""
+        No run of byte pieces crosses from one chunk into the next, which starts with a
+        space mark; so the chunks' decoded texts joined are the text that all ids decode to.
+        """
         if not text:
             return []
         if self.chunked and self.model.dummy_prefix and MARK not in text:
             words = text.split(" ")
             if "" not in words:
-                return [self.word_ids[w] for w in words]
+                memo = self.words
+                return [memo[w] for w in words]
         text = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
         chunks = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.chunked else [text]
-        return [self.chunk_ids[c] for c in chunks]
+        return [self.chunks[c] for c in chunks]
+
+    def encode_decode(self, text: str) -> tuple[bytes, str]:
+        """All ids of a text with begin and end, packed, and the text that they decode to."""
+        parts = self.parts(text)
+        decoded = "".join([d for _, d in parts])
+        if self.model.dummy_prefix and decoded[:1] == " ":
+            decoded = decoded[1:]
+        return struct.pack("<I", self.model.bos) + b"".join([p for p, _ in parts]) + struct.pack("<I", self.model.eos), decoded
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text with begin and end."""
-        packed = b"".join(self.parts(text))
+        packed = b"".join([p for p, _ in self.parts(text)])
         return [self.model.bos, *struct.unpack(f"<{len(packed) // 4}I", packed), self.model.eos]
 
     def decode(self, ids, strip: bool = True) -> str:
@@ -243,11 +261,6 @@ class Codec:
             out.append(piece[1:] if strip and not out and self.model.pieces[i].startswith(MARK) else piece)
         return "".join(out)
 
-    def decode_parts(self, parts: list[bytes]) -> str:
-        """``decode`` of the ids in ``parts``: no run of byte pieces crosses from one chunk into the next, which starts with a space mark."""
-        text = "".join([self.chunk_text[p] for p in parts])
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
-
 
 def _utf8(data: bytes) -> str:
     """Each byte that starts no valid character becomes one replacement character."""
@@ -271,6 +284,7 @@ def codec(model: bytes) -> Codec:
     key = hashlib.sha256(model).digest()
     if key not in _CODECS:
         _CODECS[key] = Codec(PieceModel.parse(model))
+        remember("sentencepiece", lambda: [c.forget() for c in _CODECS.values()])
     return _CODECS[key]
 
 
@@ -293,16 +307,13 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
 
     def run(batches):
         own = codec(model.value)
-        begin, end = struct.pack("<I", own.model.bos), struct.pack("<I", own.model.eos)
+        only("sentencepiece")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, packed_ids, texts = [], [], []
-                for value in part.column(1).to_pylist():
-                    parts = own.parts(value or "")
-                    packed_ids.append(begin + b"".join(parts) + end)
-                    texts.append(own.decode_parts(parts))
-                    n.append(len(packed_ids[-1]) // 4)
+                both = [own.encode_decode(value or "") for value in part.column(1).to_pylist()]
+                packed_ids, texts = [p for p, _ in both], [t for _, t in both]
+                n = [len(p) // 4 for p in packed_ids]
                 if digests:
                     ids = pa.array([hashlib.sha256(p).hexdigest() for p in packed_ids], pa.string())
                     texts = [hashlib.sha256(t.encode()).hexdigest() for t in texts]

@@ -203,3 +203,15 @@ def test_pipeline_stages_take_effect(spark, sf):
     last = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in last.select("doc_id").collect()} == seen[4]
     assert last.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_rows_without_an_id_crash_nothing(spark):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    text = prose(r, 10)
+    docs = spark.createDataFrame([(None, text, None, None, None), (1, text, "en", "s", 5), (None, None, "en", "s", 0), (2, prose(r), None, "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    bench = spark.createDataFrame([(0, text)], "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()} == {(1, 0)}
+    assert near_dedup.near_duplicates(docs).count() == 4 and span_dedup.remove_repeats(docs).count() <= 2
+    assert corpus_pipeline.personal_data(spark, docs, "").count() == 4 and corpus_pipeline.encoding(spark, docs, "").count() == 4
