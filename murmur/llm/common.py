@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -96,7 +98,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir, or a temporary one where unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="murmur-checkpoint-")
+        folder = tempfile.mkdtemp(prefix="murmur-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
