@@ -204,12 +204,18 @@ def abc_chains(spark, sf):
     return inference.abc(data, model, theta.from_dicts(spark, [START]), iterations=50, proposal=lambda: DiagonalWalk({"A11": 0.05}), probes=probes, scale={"sd": 0.1, "mean": 0.2}, epsilon=3.0, chains=3)
 
 
+def _profile_points(spark: SparkSession, sf: str, bins: int = 500) -> DataFrame:
+    """(profile, parameter, loglik, n): all customers, as the means of equal ranges of the parameter, so that the profile's group is bounded."""
+    customers = series.read_table(spark, sf, "customer")
+    last = customers.agg(F.max("c_custkey").alias("k")).scalar()
+    x = F.col("c_custkey") / last
+    points = customers.select(F.least(F.floor(x * bins), F.lit(bins - 1)).alias("bin"), x.alias("parameter"), (-20 * (x - 0.4) * (x - 0.4) + F.col("c_acctbal") / 1e6).alias("loglik"))
+    return points.groupBy("bin").agg(F.avg("parameter").alias("parameter"), F.avg("loglik").alias("loglik"), F.count("*").alias("n")).select(F.lit(0).alias("profile"), "parameter", "loglik", "n")
+
+
 @query
 def profile_interval(spark, sf):
-    customers = series.read_table(spark, sf, "customer").where("c_custkey <= 200")
-    x = F.col("c_custkey") / 200
-    points = customers.select(F.col("c_nationkey").alias("profile"), x.alias("parameter"), (-20 * (x - 0.4) * (x - 0.4) + F.col("c_acctbal") / 1e6).alias("loglik"))
-    return profiles.profile_intervals(points.withColumn("profile", F.lit(0)), "profile")
+    return profiles.profile_intervals(_profile_points(spark, sf), "profile")
 
 
 @query

@@ -144,3 +144,15 @@ def test_particle_queries_have_rows(spark, name):
     if name == "pfilter_yardstick":
         pytest.skip("bench only")
     assert particle_queries.QUERIES[name](spark, "/root/testdata/sf0.01").limit(1).count() == 1
+
+
+def test_every_customer_is_in_the_profile(spark):
+    sf = "/root/testdata/sf0.01"
+    customers, points = spark.read.parquet(f"{sf}/customer.parquet"), particle_queries._profile_points(spark, sf).toPandas()
+    assert points.n.sum() == customers.count() > 200 and len(points) <= 500
+    x = F.col("c_custkey") / customers.agg(F.max("c_custkey")).first()[0]
+    total = customers.agg(F.sum(-20 * (x - 0.4) * (x - 0.4) + F.col("c_acctbal") / 1e6)).first()[0]
+    assert (points.loglik * points.n).sum() == pytest.approx(float(total))
+    assert points.parameter.max() > 0.99
+    fit = particle_queries.profile_interval(spark, sf).first()
+    assert fit.lo < 0.4 < fit.hi
