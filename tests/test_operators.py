@@ -156,3 +156,12 @@ def test_every_customer_is_in_the_profile(spark):
     assert points.parameter.max() > 0.99
     fit = particle_queries.profile_interval(spark, sf).first()
     assert fit.lo < 0.4 < fit.hi
+
+
+def test_the_algorithms_see_whole_series(spark):
+    sf = "/root/testdata/sf0.01"
+    daily, panel = series.daily_orders(spark, sf), series.monthly_by_nation(spark, sf)
+    got = particle_queries._daily(spark, sf)[0].select(F.size("obs").alias("n")).collect()
+    assert [r.n for r in got] == [daily.count()]
+    units = {r.series_id: r["count"] for r in panel.groupBy("series_id").count().collect()}
+    assert {r.series_id: r.n for r in particle_queries._panel(spark, sf)[0].select("series_id", F.size("obs").alias("n")).collect()} == units
