@@ -1,7 +1,7 @@
 """URL verdicts by pattern rules that are indexed by their rarest literal token.
 
 A rule is a regular expression over host and path plus the literal tokens (runs of a-z
-and 0-9, lower-cased) that every URL it fits holds whole. One pass counts the rules'
+and 0-9, lower-cased) that every URL it fits holds whole or with digits after them. One pass counts the rules'
 tokens over all URLs; each rule is filed under its rarest one. The tokens of a URL then
 fetch candidate rules by an equi-join, and only those run their regular expression.
 Rules with no literal token are filed under a token that every URL has.
@@ -57,7 +57,8 @@ def token_rule(verdict: str, token: str, where: str, rank: int = 0) -> Rule:
         "segment": rf"(?i)/{t}(?:/|\z)",
         "extension": rf"(?i)/[^/]*\.{t}\z",
     }[where]
-    return Rule(f"{where}:{token}", verdict, pattern, (token,), rank, len(token))
+    whole = (token.lower().rstrip("0123456789") if where == "label" else token,)  # a label's number may go on
+    return Rule(f"{where}:{token}", verdict, pattern, whole, rank, len(token))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -75,7 +76,9 @@ def judge(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str
     spark = pages.sparkSession
     host, path = parts(F.col("u"))
     urls = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u")).groupBy("k", "u").agg(F.count("*").alias("copies")).withColumn("host", host).withColumn("path", path)
-    tokens = F.array_union(F.filter(F.array_distinct(F.split(ascii_lower(F.concat_ws("/", "host", "path")), "[^a-z0-9]+")), lambda t: t != _ANY), F.array(F.lit(_ANY)))
+    whole = F.split(ascii_lower(F.concat_ws("/", "host", "path")), "[^a-z0-9]+")
+    numberless = F.transform(whole, lambda t: F.regexp_replace(t, "[0-9]+$", ""))
+    tokens = F.array_union(F.filter(F.array_union(whole, numberless), lambda t: t != _ANY), F.array(F.lit(_ANY)))
     asked = urls.withColumn("token", F.explode(tokens))
 
     rule_rows = [(i, r.name, r.verdict, r.pattern, list(r.tokens) or [_ANY], r.rank, r.length) for i, r in enumerate(rules)]

@@ -162,6 +162,17 @@ def test_url_rules_against_plain_matching(spark):
     assert verdicts["http://blogin.io/x"] == "allow"
 
 
+def test_numbered_hosts_meet_their_label_rules(spark):
+    urls = [f"http://{host}site.io/" for label in registry.BLOCKED_LABELS for host in (f"{label}.", f"{label}2.", f"{label.upper()}077.", f"x.{label}1.", f"{label}2x.", f"{label}-2.")]
+    rules = registry.url_rule_book() + [url_rules.token_rule("block", "cdn1", "label"), url_rules.token_rule("block", "77", "label")]
+    urls += ["http://cdn12.site.io/", "http://cdn1.io/", "http://cdn2.io/", "http://778.io/", "http://78.io/"]
+    got = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r.verdict == "block") == any(re.search(x.pattern.replace(r"\z", r"\Z"), r.host + r.path) for x in rules if x.verdict == "block"), urls[r.page_id]
+    assert {r.page_id for r in got if r.host == "ads2.site.io" and r.verdict == "block" and r.rule == "label:ads"}
+
+
 def test_licenses_by_brute_force(spark):
     mit = license_scan.TEXTS[0].text
     words = mit.split()
