@@ -51,7 +51,7 @@ def url_rule_book() -> list[url_rules.Rule]:
     return (
         [url_rules.host_rule(*r) for r in HOST_RULES]
         + [url_rules.token_rule("block", t, "label") for t in BLOCKED_LABELS]
-        + [url_rules.token_rule("block", t, "segment") for t in BLOCKED_SEGMENTS if t.isalnum()]
+        + [url_rules.token_rule("block", t, "segment") for t in BLOCKED_SEGMENTS]
         + [url_rules.token_rule("block", t, "extension") for t in BLOCKED_EXTENSIONS]
     )
 

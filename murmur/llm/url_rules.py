@@ -57,8 +57,8 @@ def token_rule(verdict: str, token: str, where: str, rank: int = 0) -> Rule:
         "segment": rf"(?i)/{t}(?:/|\z)",
         "extension": rf"(?i)/[^/]*\.{t}\z",
     }[where]
-    whole = (token.lower().rstrip("0123456789") if where == "label" else token,)  # a label's number may go on
-    return Rule(f"{where}:{token}", verdict, pattern, whole, rank, len(token))
+    whole = re.findall(r"[a-z0-9]+", token.lower().rstrip("0123456789") if where == "label" else token.lower())  # a label's number may go on
+    return Rule(f"{where}:{token}", verdict, pattern, tuple(dict.fromkeys(whole)), rank, len(token))
 
 
 def parts(url: Column) -> tuple[Column, Column]:

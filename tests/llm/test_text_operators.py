@@ -173,6 +173,14 @@ def test_numbered_hosts_meet_their_label_rules(spark):
     assert {r.page_id for r in got if r.host == "ads2.site.io" and r.verdict == "block" and r.rule == "label:ads"}
 
 
+def test_every_listed_segment_blocks(spark):
+    urls = [f"http://site.io/{t}{end}" for t in registry.BLOCKED_SEGMENTS for end in ("", "/", "/x?y=1")] + ["http://site.io/WP-Admin/", "http://site.io/wp-admins/", "http://site.io/wp/admin/", "http://site.io/cgi-bin.html"]
+    got = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), registry.url_rule_book()).collect()}
+    n = 3 * len(registry.BLOCKED_SEGMENTS)
+    assert [got[i].rule for i in range(n)] == [f"segment:{t}" for t in registry.BLOCKED_SEGMENTS for _ in range(3)]
+    assert [got[i].verdict for i in range(n, len(urls))] == ["block", "allow", "allow", "allow"]
+
+
 def test_licenses_by_brute_force(spark):
     mit = license_scan.TEXTS[0].text
     words = mit.split()
