@@ -6,7 +6,8 @@ N texts, n(e) hold the entity, n(t) hold the term, n(t, e) hold the term within
 few words of the entity. Disclosure is the pointwise mutual information in units of what
 the entity itself would tell: log(N n(t,e) / (n(t) n(e))) / log(N / n(e)). Terms seen with
 an entity in ``support`` distinct texts or more whose disclosure reaches ``generalise``
-are replaced by their shape (``[NAME]``, ``[NUMBER]``, ``[WORD]``), from ``remove`` on they go. That
+are replaced by their shape (``[NAME]``, ``[NUMBER]``, ``[WORD]``), from ``remove`` on they go, in
+every text that holds the term, with or without the entity. That
 support counts distinct texts keeps copies of one text from looking like evidence.
 
 Everything is DataFrame expressions. Places come from the matches and the gaps between
@@ -153,10 +154,13 @@ def revealing_terms(docs: DataFrame, found: DataFrame, tables: Tables, *, text:
     return scored.select("e", "term", bits.alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
-def revealed_rows(found: DataFrame, revealing: DataFrame, tables: Tables) -> DataFrame:
-    """(d, th, terms) of the rows that hold an entity together with terms that reveal it; broadcast where few."""
-    entities = found.where(F.size("spans") > 0).select("d", "th", F.explode("spans").alias("s")).select("d", "th", F.xxhash64(_entity(F.col("s"))).alias("e"))
-    rows = tables.write(entities.join(revealing, "e").groupBy("d", "th").agg(F.array_sort(F.collect_set(F.struct("term", "disclosure"))).alias("terms")), "revealed")
+def revealed_rows(docs: DataFrame, revealing: DataFrame, tables: Tables, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(d, th, terms) of all rows that hold a revealing term, with or without its entity; broadcast where few."""
+    told = tables.write(revealing.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "told")
+    told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told
+    words = F.array_distinct(_words(F.coalesce(F.col(text), F.lit(""))))
+    spoken = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.explode(words).alias("term"))
+    rows = tables.write(spoken.join(told, "term").groupBy("d", "th").agg(F.array_sort(F.collect_set(F.struct("term", "disclosure"))).alias("terms")), "revealed")
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
@@ -173,7 +177,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int
     tables = tables or Tables(docs.sparkSession, "pii")
     found = tables.write(find(docs, key=key, text=text, near=near, reach=reach), "spans")
     revealing = tables.write(revealing_terms(docs, found, tables, text=text, **limits), "revealing")
-    extra = term_spans(docs, revealed_rows(found, revealing, tables), key=key, text=text)
+    extra = term_spans(docs, revealed_rows(docs, revealing, tables, key=key, text=text), key=key, text=text)
     joined = found.alias("f").join(extra.alias("x"), F.expr("f.d <=> x.d AND f.th = x.th"), "left").select("f.d", "spans", "extra")
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind_no"] < len(BASE_KINDS))
@@ -209,7 +213,7 @@ def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", remove:
     tables = tables or Tables(docs.sparkSession, "pii")
     found = tables.write(find(docs, key=key, text=text, near=near, reach=reach), "spans")
     revealing = tables.write(revealing_terms(docs, found, tables, text=text, **limits), "revealing")
-    terms = revealed_rows(found, revealing, tables)
+    terms = revealed_rows(docs, revealing, tables, key=key, text=text)
     gone = F.transform("terms", lambda x: F.struct(x["term"], (x["disclosure"] >= remove).alias("gone")))
     rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_d"), F.col(text).alias("_t"))
     body = rows.join(terms, F.col("_d").eqNullSafe(F.col("d")) & (F.xxhash64("_t") == F.col("th")), "left").select("_row", "_t", gone.alias("_terms"))

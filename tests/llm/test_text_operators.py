@@ -249,6 +249,17 @@ def test_terms_that_give_an_entity_away_go(spark):
     assert all("quaxly" in out[i] and "al@" not in out[i] for i in range(305, 310))  # copies of one text are no evidence
 
 
+def test_revealing_terms_go_where_the_entity_is_not(spark):
+    told = [f"note{i} the zorblatt can be met at jo.doe@mail.org by anybody here" for i in range(5)]
+    alone = ["Zorblatt was seen again", "again a zorblatt spoke"]
+    fill = spark.range(51_000).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("number"), "id", F.lit(" says nothing about anybody here, the note can be met")).alias("text"))
+    df = documents(spark, told + alone, extra=False).select("doc_id", "text").unionByName(fill)
+    out = {r.doc_id: r.text for r in pii.redact(df).where("doc_id < 200").collect()}
+    assert all("zorblatt" not in out[i].lower() for i in range(7)) and "again" in out[5] and out[100] == "number0 says nothing about anybody here, the note can be met"
+    spans = {r.doc_id: r.spans for r in pii.scan(df).where("doc_id < 200").collect()}
+    assert spans[5] == "term:0:8" and spans[6] == "term:8:16" and spans[100] == ""
+
+
 def test_quality_figures_by_brute_force(spark):
     r = random.Random(1)
     texts = [" ".join(r.choice("abcdef") + r.choice("xy\n#") for _ in range(r.randrange(0, 80))) for _ in range(200)] + [None, "", LONG, "a\x1cb c", "l\nl\n \nl", "x y " * 5 + "# $"]
