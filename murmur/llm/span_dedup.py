@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at sentence marks before white space, and at line ends); a
-long sentence is cut further after words that their own hash selects, so cuts fall at the
-same words wherever a passage stands. From every sentence the shortest run of at least
+A text is cut into pieces (called sentences here) after the word of the smallest hash of
+every 7 neighbouring words, so a piece has at most 7 words and cuts fall at the same words
+wherever a passage stands, but for 6 words at its ends. 7 are few enough for any 50 common
+words to hold a run of 25. From every sentence the shortest run of at least
 ``sentences`` sentences and ``words`` words is hashed to 64 bits (among 10 ** 12 runs, one in
 2 * 10 ** 7 meets a stranger). Runs are joined over all
 texts; the first place of a run, by document and place, is kept, and every sentence under
@@ -29,37 +30,33 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import Tables
 
-_END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|\n+\s*")
-_WORD = re.compile(r"\S+\s*")
+#: A word; in scripts without spaces each character is one.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"(?:[{_UNSPACED}]|[^\s{_UNSPACED}]+)\s*")
 
 
-def sentences_of(text: str | None, longest: int = 16, every: int = 6) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the sentences of a text, white space after them included.
+def sentences_of(text: str | None, window: int = 7) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the pieces of a text, white space after them included.
 
-    Sentences of more than ``longest`` words are cut after words whose hash is 0 modulo ``every``.
+    A text is cut after the word of the smallest hash (the last of equal ones) of every ``window`` neighbouring words.
     """
     if not text:
         return []
-    out, at = [], 0
-    for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        if end <= at:
-            continue
-        n = len(text[at:end].split())
-        if n <= longest:
-            if n or not out:
-                out.append((at, end, n))
-            else:
-                out[-1] = (out[-1][0], end, out[-1][2])
-        else:
-            begin, count, place = at, 0, at
-            for m in _WORD.finditer(text, at, end):
-                count, place = count + 1, m.end()
-                if xxhash.xxh32_intdigest(m[0].strip()) % every == 0:
-                    out.append((begin, place, count))
-                    begin, count = place, 0
-            if begin < end:
-                out.append((begin, end, count))
-        at = end
+    ends, hashes = [], []
+    for m in _WORD.finditer(text):
+        ends.append(m.end())
+        hashes.append(xxhash.xxh32_intdigest(m[0].rstrip()))
+    out, at, before, best = [], 0, 0, -1
+    for i, h in enumerate(hashes):
+        if best <= i - window:
+            best = min(range(max(i - window + 1, 0), i + 1), key=lambda j: (hashes[j], -j))
+        elif h <= hashes[best]:
+            best = i
+        if i >= window - 1 and best >= before:
+            out.append((at, ends[best], best + 1 - before))
+            at, before = ends[best], best + 1
+    if at < len(text):
+        out.append((at, len(text), len(ends) - before))
     return out
 
 

@@ -170,6 +170,22 @@ def test_repeated_spans_by_brute_force(spark):
     assert span_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_any_fifty_common_words_hold_a_run():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randrange(1, 5)))
+    hashes = lambda text: {h for _, _, h in span_dedup.runs_of(text, 3, 25)}
+    for _ in range(1500):
+        passage = [word() for _ in range(50)]
+        for at in r.choice([[], [11, 25, 39], [24]]):  # sentence marks: none, or sentences of up to 16 words with their hosts
+            passage[at] += "."
+        texts = [" ".join([word() for _ in range(r.randrange(30))] + passage + [word() for _ in range(r.randrange(30))]) for _ in range(2)]
+        assert hashes(texts[0]) & hashes(texts[1])
+    for _ in range(100):
+        passage = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(50))
+        texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(20)) + passage + "。" + chr(r.randrange(0x4E00, 0x9FA5)) * 9 for _ in range(2)]
+        assert hashes(texts[0]) & hashes(texts[1])
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
