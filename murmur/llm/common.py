@@ -56,13 +56,6 @@ def only(owner: str) -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def lean(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on, at most so many rows go to Python at once: whole texts are large rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = int(spark.conf.get(name))
-    spark.conf.set(name, min(rows, before) if before > 0 else rows)
-
-
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """Batches of so many rows go to Python for the jobs that run inside: rows with whole sets or texts are large."""
@@ -95,9 +88,11 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a temporary one where unset."""
+    """The folder that all machines share: spark.checkpoint.dir, or, where Spark runs in one process, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="murmur-checkpoint-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
@@ -105,15 +100,36 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Folders of written tables of this driver, which go when it ends.
+_BASES: list[tuple[SparkSession, str]] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, as Hadoop objects."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _remove_all() -> None:
+    for spark, base in _BASES:
+        with contextlib.suppress(Exception):  # a session that has been stopped can't remove anything any more
+            files, at = _folder(spark, base)
+            files.delete(at, True)
+
+
 class Tables:
     """Written intermediate tables of one operator call, in the shared folder.
 
     A written table cuts lineage, outlives executors and is read as often as wanted.
-    ``keep`` removes what no later step reads.
+    ``keep`` removes what no later step reads; what is left, which the result may still
+    read, goes when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark, self.base = spark, f"{checkpoint_root(spark)}/{owner}-{uuid.uuid4().hex}"
+        if not _BASES:
+            atexit.register(_remove_all)
+        _BASES.append((spark, self.base))
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -127,8 +143,7 @@ class Tables:
 
     def keep(self, *names: str) -> None:
         """Removes all tables but these: what no later step reads."""
-        base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        files = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files, base = _folder(self.spark, self.base)
         for status in files.listStatus(base):
             if status.getPath().getName() not in names:
                 files.delete(status.getPath(), True)
