@@ -28,8 +28,10 @@ for: they change no component.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked
 with nothing and is its own component; a text with fewer words than a shingle is one
-shingle; equal sets are one class; rows that repeat a doc_id are one document, each row
-with the size of its own set; extra columns are ignored.
+shingle; equal sets are one class; rows that repeat a doc_id are one document: each row has
+the size of its own set, all their sets are kept and belong to one component, and so do the
+documents that any of them links; a row without an id is linked with nothing and kept; ids
+are of any type that can be ordered; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,12 +44,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Tables, arrow_batches, only, remember, small, without
+from murmur.llm.common import BROADCAST_IDS, Tables, arrow_batches, only, remember, without
 from murmur.llm.graph import components
 
 BLOCK = 128
 #: So many of the most common shingles are told to every task (8 bytes each); with more, the least common of them count as rare.
 COMMON_SHINGLES = 1_000_000
+#: The meetings of a shingle's holders with their head are dealt to so many tasks.
+SALTS = 16
 _MEMO_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,90 +117,97 @@ def _sketcher(*settings: int) -> Sketcher:
 
 
 def _sketch(docs: DataFrame, settings: tuple[int, int, int]) -> DataFrame:
-    """(d, n, sid, halves) of every row; sid is a 128-bit digest of the set."""
-    schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("halves", pa.list_(pa.int64()))])
+    """(d, th, n, sid, halves) of every row; sid is a 128-bit digest of the set."""
 
     def run(batches):
         own = _sketcher(*settings)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [own.shingles(t) for t in part.column(1).to_pylist()]
+                sets = [own.shingles(t) for t in part.column(2).to_pylist()]
                 halves = pa.array([own.half_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
                 sids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), halves], schema=schema)
-
-    return docs.mapInArrow(run, "d bigint, n bigint, sid binary, halves array<bigint>")
-
-
-def _wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    return docs.join(small(wanted.select("d").distinct()), "d", "left_semi")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, settings: tuple[int, int, int]) -> DataFrame:
-    """(d, n, shingles as bytes) of the wanted documents."""
-    schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
-
-    def run(batches):
-        own = _sketcher(*settings)
-        for batch in batches:
-            sets = [own.shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
-
-    return _wanted(docs, wanted).mapInArrow(run, "d bigint, n bigint, shingles binary")
-
-
-def _single_shingles(docs: DataFrame, wanted: DataFrame, settings: tuple[int, int, int]) -> DataFrame:
-    """(d, n, shingle): a row for each shingle of the wanted documents."""
-    schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
-
-    def run(batches):
-        own = _sketcher(*settings)
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = own.shingles(t).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array(np.full(len(s), len(s))), pa.array(s)], schema=schema)
-
-    return _wanted(docs, wanted).mapInArrow(run, "d bigint, n bigint, shingle bigint")
-
-
-def _rarest(docs: DataFrame, wanted: DataFrame, common: list[int], settings: tuple[int, int, int], percent: int) -> DataFrame:
-    """(d, n, shingle): the shingles of each wanted document one of which a linked one must have, ``common`` ones last."""
-    schema = pa.schema([("d", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
-    last = docs.sparkSession.sparkContext.broadcast((np.sort(np.array(common, np.int64)), np.argsort(np.array(common, np.int64))))
-
-    def run(batches):
-        own = _sketcher(*settings)
-        ordered, rank = last.value
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = own.shingles(t).view(np.int64)
-                n = len(s)
-                if len(ordered) and n:
-                    spot = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
-                    s = s[np.argsort(np.where(ordered[spot] == s, rank[spot] + 1, 0), kind="stable")]
-                s = s[: n - -(-n * percent // 100) + 1]
-                yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array(np.full(len(s), n)), pa.array(s)], schema=schema)
-
-    return _wanted(docs, wanted).mapInArrow(run, "d bigint, n bigint, shingle bigint")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, settings: tuple[int, int, int], percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked: 100 |A & B| >= percent |A | B|."""
-    side = lambda name: _sets(docs, pairs.select(F.col(name).alias("d")), settings).select(F.col("d").alias(name), F.col("shingles").alias(f"{name}_set"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.record_batch([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
-
-    # Merge joins: with a broadcast, a task would run the Python of a side and of the comparison at once, in twice the workers.
-    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a bigint, b bigint")
+                columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), halves]
+                yield pa.record_batch(columns, names=["d", "th", "n", "sid", "halves"])
+
+    kind = docs.schema["d"].dataType.simpleString()
+    return docs.select("d", "th", "t").mapInArrow(run, f"d {kind}, th bigint, n bigint, sid binary, halves array<bigint>")
+
+
+class _Classes:
+    """The classes of equal sets (cid, d, th, ...), each with a row of ``docs`` that holds it, and the sets of wanted ones."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, settings: tuple[int, int, int], percent: int):
+        self.docs, self.keys, self.settings, self.percent = docs, classes.select("cid", "d", "th"), settings, percent
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """(cid, t) of the wanted classes, by broadcasting their keys where these, which are counted, are few."""
+        ids = wanted.select("cid").distinct()
+        told = F.broadcast if ids.count() <= BROADCAST_IDS else lambda df: df
+        keys = self.keys.join(told(ids), "cid", "left_semi")
+        return self.docs.join(told(keys), ["d", "th"]).select("cid", "t")
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(cid, shingles as bytes) of the wanted classes, once each however often a row repeats."""
+        settings = self.settings
+
+        def run(batches):
+            own = _sketcher(*settings)
+            for batch in batches:
+                found = pa.array([own.shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+                yield pa.record_batch([batch.column(0), found], names=["cid", "shingles"])
+
+        return self.texts(wanted).mapInArrow(run, "cid bigint, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
+
+    def single(self, wanted: DataFrame) -> DataFrame:
+        """(cid, shingle): a row for each shingle of the wanted classes."""
+        settings = self.settings
+
+        def run(batches):
+            own = _sketcher(*settings)
+            for batch in batches:
+                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    s = own.shingles(t).view(np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array(s)], names=["cid", "shingle"])
+
+        return self.texts(wanted).mapInArrow(run, "cid bigint, shingle bigint")
+
+    def rarest(self, wanted: DataFrame, common: np.ndarray) -> DataFrame:
+        """(cid, shingle): the shingles of each wanted class one of which a linked one must have, ``common`` ones last."""
+        settings, percent = self.settings, self.percent
+        last = self.docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
+
+        def run(batches):
+            own = _sketcher(*settings)
+            ordered, rank = last.value
+            for batch in batches:
+                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    s = own.shingles(t).view(np.int64)
+                    n = len(s)
+                    if len(ordered) and n:
+                        spot = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
+                        s = s[np.argsort(np.where(ordered[spot] == s, rank[spot] + 1, 0), kind="stable")]
+                    s = s[: n - -(-n * percent // 100) + 1]
+                    yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array(s)], names=["cid", "shingle"])
+
+        return self.texts(wanted).mapInArrow(run, "cid bigint, shingle bigint")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets are as similar as asked: 100 |A & B| >= percent |A | B|."""
+        percent = self.percent
+        side = lambda name: self.sets(pairs.select(F.col(name).alias("cid"))).select(F.col("cid").alias(name), F.col("shingles").alias(f"{name}_set"))
+
+        def run(batches):
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3)):
+                    a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(a) + len(b) - both))
+                yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        # Merge joins: with a broadcast, a task would run the Python of a side and of the comparison at once, in twice the workers.
+        return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a bigint, b bigint")
 
 
 def _sized(percent: int) -> str:
@@ -204,44 +215,48 @@ def _sized(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
-def _block_links(docs: DataFrame, members: DataFrame, tables: Tables, settings: tuple[int, int, int], percent: int) -> DataFrame:
-    """Links (a, b) between members (rep, comp, n) of different components, at least one for any two that have one."""
+def _block_links(own: _Classes, members: DataFrame, tables: Tables) -> DataFrame:
+    """Links (a, b) between members (cid, comp, n) of different components, at least one for any two that have one."""
+    percent = own.percent
     rarest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1  # a link has one of so many of the rarest in common
-    ids = members.select(F.col("rep").alias("d"), "n")
+    ids = members.select("cid", "n")
     # A set with as many shingles that no other has is linked with none. Their only holder is known without a join.
-    lone = _single_shingles(docs, ids, settings).groupBy("shingle").agg(F.count("*").alias("df"), F.min("d").alias("d")).where("df = 1")
-    own = lone.groupBy("d").agg(F.count("*").alias("own"))
-    left = tables.write(ids.join(own, "d", "left").where(F.coalesce("own", F.lit(0)) < rarest).select("d"), "left")
-    members = members.join(left.withColumnRenamed("d", "rep"), "rep", "left_semi")
-    sets = _sets(docs, left, settings)
+    lone = own.single(ids).groupBy("shingle").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).where("cid = last")
+    alone = lone.groupBy("cid").agg(F.count("*").alias("own"))
+    left = tables.write(ids.join(alone, "cid", "left").where(F.coalesce("own", F.lit(0)) < rarest).select("cid"), "left")
+    members = members.join(left, "cid", "left_semi")
+    sets = own.sets(left)
     # Common shingles come last, by how many sets have them; the others in the order of their hashes. Any one order is exact.
-    df = _single_shingles(docs, left, settings).groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK)
-    common = [r["shingle"] for r in df.orderBy(F.desc("df"), "shingle").limit(COMMON_SHINGLES).collect()][::-1]
-    prefix = _rarest(docs, left, common, settings, percent)
-    prefix = tables.write(prefix.join(members.select(F.col("rep").alias("d"), "comp"), "d"), "prefixes")
-    meet = prefix.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("d").alias("head")).where("lo <> hi").select("shingle", "head")
-    stars = prefix.join(meet, "shingle").select(F.col("head").alias("a"), F.col("d").alias("b"))
-    groups = components(stars, tables, "groups").select(F.col("node").alias("d"), F.col("comp").alias("g"))
+    df = own.single(left).groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK)
+    common = df.orderBy(F.desc("df"), "shingle").limit(COMMON_SHINGLES).select("shingle").toArrow()["shingle"].to_numpy()[::-1].astype(np.int64)
+    prefix = own.rarest(left, common)
+    prefix = tables.write(prefix.join(members.select("cid", "comp"), "cid"), "prefixes")
+    meet = prefix.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("head")).where("lo <> hi")
+    # A shingle that many sets have meets its head in several tasks.
+    meet = meet.select("shingle", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = prefix.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
+    stars = salted.join(meet, ["shingle", "salt"]).select(F.col("head").alias("a"), F.col("cid").alias("b"))
+    groups = components(stars, tables, "groups").select(F.col("node").alias("cid"), F.col("comp").alias("g"))
     # Sizes of linked sets differ by a factor of t at most, so they are in the same or the next class.
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    dealt = groups.join(members.select(F.col("rep").alias("d"), "comp", "n").distinct(), "d").withColumn("z", size_class)
+    dealt = groups.join(members.select("cid", "comp", "n"), "cid").withColumn("z", size_class)
     counts = dealt.groupBy("g", "z").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     at = lambda shift, name: counts.select("g", (F.col("z") + shift).alias("z"), F.col("blocks").alias(name))
     dealt = dealt.join(at(0, "own"), ["g", "z"]).join(at(-1, "above"), ["g", "z"], "left").join(at(1, "below"), ["g", "z"], "left")
-    block = F.pmod(F.xxhash64("d"), F.col("own")).cast("int")
+    block = F.pmod(F.xxhash64("cid"), F.col("own")).cast("int")
     every = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     where = F.concat(
         F.transform(every(F.col("own")), lambda j: F.struct(F.col("z").alias("z"), F.lit(0).alias("up"), F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), (block <= j).alias("left"))),
         F.transform(every(F.col("above")), lambda j: F.struct(F.col("z").alias("z"), F.lit(1).alias("up"), block.alias("i"), j.alias("j"), F.lit(True).alias("left"))),
         F.transform(every(F.col("below")), lambda i: F.struct((F.col("z") - 1).alias("z"), F.lit(1).alias("up"), i.alias("i"), block.alias("j"), F.lit(False).alias("left"))),
     )
-    dealt = dealt.select("d", "comp", "g", F.explode(where).alias("w")).select("d", "comp", "g", "w.*").join(sets.select("d", "shingles"), "d")
+    dealt = dealt.select("cid", "comp", "g", F.explode(where).alias("w")).select("cid", "comp", "g", "w.*").join(sets, "cid")
     return dealt.groupBy("g", "z", "up", "i", "j").applyInArrow(lambda t: _multiply(t, percent), "a bigint, b bigint")
 
 
 def _multiply(table: pa.Table, percent: int) -> pa.Table:
     """One link for any two components that have one between a left and a right set."""
-    d, comp = table["d"].to_numpy(), table["comp"].to_numpy()
+    d, comp = table["cid"].to_numpy(), table["comp"].to_numpy()
     left = np.array(table["left"].to_pylist(), bool)
     right = ~left if table["up"][0].as_py() or table["i"][0].as_py() != table["j"][0].as_py() else left
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
@@ -291,13 +306,16 @@ def near_duplicates(
 def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent: int, halves: int, rows: int, bucket: int, least_tables: int, tables: Tables | None) -> DataFrame:
     tables = tables or Tables(docs.sparkSession, "near-dedup")
     settings = (words, halves, rows)
-    docs = docs.select(F.col(key).cast("bigint").alias("d"), F.col(text).alias("t"))
+    docs = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     sketches = tables.write(_sketch(docs, settings), "sketches")
-    classes = sketches.where("n > 0").groupBy("sid").agg(F.min("d").alias("rep"), F.first("n").alias("n"), F.first("halves").alias("halves"))
-    reps = tables.write(classes.dropDuplicates(["rep"]), "classes")
-    half = reps.select("rep", "n", F.posexplode("halves").alias("pos", "h"))
+    whole = sketches.where("n > 0 AND d IS NOT NULL")
+    classes = whole.groupBy("sid").agg(F.min(F.struct("d", "th")).alias("rep"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    # Numbers are given as the table is written, and read from it ever after: a task that runs again commits once.
+    classes = tables.write(classes.select(F.monotonically_increasing_id().alias("cid"), "sid", "rep.*", "n", "halves"), "classes")
+    own = _Classes(docs, classes, settings, percent)
+    half = classes.select("cid", "n", F.posexplode("halves").alias("pos", "h"))
     shared = half.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    hot = half.join(shared, "h", "left_semi").groupBy("rep", "n").agg(F.collect_list(F.struct("pos", "h")).alias("hs"))
+    hot = half.join(shared, "h", "left_semi").groupBy("cid", "n").agg(F.collect_list(F.struct("pos", "h")).alias("hs"))
     hot = tables.write(hot, "halves")
     first, second = F.filter("hs", lambda x: x["pos"] < halves), F.filter("hs", lambda x: x["pos"] >= halves)
 
@@ -305,13 +323,16 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
         other = lambda a: F.filter(second, lambda b: b["pos"] == a["pos"] + halves) if diagonal else second
         return F.explode(F.flatten(F.transform(first, lambda a: F.transform(other(a), lambda b: F.xxhash64(a["h"], b["h"])))))
 
+    # 0: the sets of one document are connected.
+    links = tables.write(_same_document(sketches, classes), "links-0")
+
     # 1: the tables (i, i), each bucket against its smallest member.
-    table = hot.select("rep", "n", keys(True).alias("key"))
-    heads = table.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
-    named = table.join(heads, "key").where("rep <> head.rep").groupBy(F.col("rep").alias("b"), F.col("head.rep").alias("a")).agg(F.count("*").alias("votes"), F.first("n").alias("nb"), F.first("head.n").alias("na"))
+    table = hot.select("cid", "n", keys(True).alias("key"))
+    heads = table.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
+    named = table.join(heads, "key").where("cid <> head.cid").groupBy(F.col("cid").alias("b"), F.col("head.cid").alias("a")).agg(F.count("*").alias("votes"), F.first("n").alias("nb"), F.first("head.n").alias("na"))
     named = tables.write(named.where(_sized(percent)), "named")
     best = named.groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
-    links = tables.write(_verified(best, docs, settings, percent), "links-1")
+    links = links.unionByName(tables.write(own.verified(best), "links-1"))
     comps = components(links, tables, "components-1")
 
     def labelled(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -320,35 +341,50 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
         return pairs
 
     apart = labelled(named.select("a", "b"), comps).where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = tables.write(_verified(tables.write(apart, "apart"), docs, settings, percent), "links-2")
+    more = tables.write(own.verified(tables.write(apart, "apart")), "links-2")
     links = links.unionByName(more)
     comps = components(links, tables, "components-2")
 
     # 2: all tables; only where components meet.
-    located = hot.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    located = hot.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     located = tables.write(located.repartition("comp"), "located")
-    wide = located.select("rep", "n", "comp", keys(False).alias("key"))
+    wide = located.select("cid", "n", "comp", keys(False).alias("key"))
     meet = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
     members = tables.write(wide.join(meet, "key"), "members")
     few = members.where(F.col("c") <= bucket)
-    side = lambda x: few.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
+    side = lambda x: few.select("key", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
     pairs = side("a").join(side("b"), "key").where(f"ca < cb AND {_sized(percent)}").groupBy("a", "b").agg(F.count("*").alias("c"))
     # A set with a link to another component meets its partner in so many of these buckets, large or small.
-    met = members.groupBy("rep", "n", "comp").agg(F.count("*").alias("met"), F.max("c").alias("largest"))
-    large = met.where((F.col("largest") > bucket) & (F.col("met") >= least_tables)).select("rep", "n", "comp")
+    met = members.groupBy("cid", "n", "comp").agg(F.count("*").alias("met"), F.max("c").alias("largest"))
+    large = met.where((F.col("largest") > bucket) & (F.col("met") >= least_tables)).select("cid", "n", "comp")
     # A pair may share tables of both kinds: where both sets are in large buckets, step 3 compares them.
     large = tables.write(large, "large")
     pairs = pairs.where(F.col("c") >= least_tables).select("a", "b")
     candidates = tables.write(pairs.join(named.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    links = links.unionByName(tables.write(_verified(candidates, docs, settings, percent), "links-3"))
+    links = links.unionByName(tables.write(own.verified(candidates), "links-3"))
     if not large.isEmpty():
-        links = links.unionByName(tables.write(_block_links(docs, large, tables, settings, percent), "links-4"))
+        links = links.unionByName(tables.write(_block_links(own, large, tables), "links-4"))
     comps = components(links, tables, "components-3")
-    tables.keep("sketches", "components-3")
-
-    answer = sketches.select("d", "n", "sid").join(classes.select("sid", "rep"), "sid", "left").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    component = F.coalesce("comp", "rep", "d")
-    return answer.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("d") == component).alias("kept"))
+    # Classes are numbered in no order of ids: a component is named by its smallest document.
+    sized = comps.join(classes.select(F.col("cid").alias("node"), "d"), "node")
+    names = sized.groupBy("comp").agg(F.min("d").alias("low"))
+    named_classes = sized.join(names, "comp").select(F.col("node").alias("cid"), "low")
+    told = classes.select("cid", "sid", F.col("d").alias("least")).join(named_classes, "cid", "left").select("sid", F.coalesce("low", "least").alias("component"))
+    told = tables.write(told, "told")
+    tables.keep("sketches", "told")
+
+    # Equal sets may be a third of all rows: their class is met by Spark's skew-aware join. Empty ones meet nothing.
+    answer = sketches.where("n > 0").select("d", "n", "sid").join(told, "sid", "left").select("d", "n", "component")
+    answer = answer.unionByName(sketches.where("n = 0").select("d", "n", F.col("d").alias("component")))
+    component = F.when(F.col("d").isNotNull(), F.coalesce("component", "d"))
+    return answer.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("d") == component, F.lit(True)).alias("kept"))
+
+
+def _same_document(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all classes of every doc_id whose rows have several sets."""
+    several = sketches.where("n > 0 AND d IS NOT NULL").groupBy("d").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("d")
+    held = sketches.where("n > 0").join(several, "d", "left_semi").select("d", "sid").distinct().join(classes.select("sid", "cid"), "sid")
+    return held.join(held.groupBy("d").agg(F.min("cid").alias("a")), "d").where("a <> cid").select("a", F.col("cid").alias("b"))
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
