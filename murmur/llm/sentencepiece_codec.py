@@ -14,8 +14,9 @@ loaded; otherwise a text is one chunk), so no merge crosses from a character int
 following space mark: chunks between such places are encoded on their own and memoised.
 
 Defined results: a null text counts as empty; an empty text is the begin and end id; a
-repeated row gives the same result twice; extra columns are not touched; very long texts
-and chunks take time in proportion to their length.
+repeated row gives the same result twice; ids are of any type; extra columns are ignored;
+very long texts and chunks take time and memory in proportion to their length, and what a
+worker remembers is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ from murmur.llm.common import only, remember
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries of the memo tables of one Python worker; a full table is emptied.
-MEMO_ENTRIES = 300_000
+#: Bytes of each memo table of one Python worker, by an estimate from above; a full table is emptied. Longer chunks aren't remembered.
+MEMO_BYTES, MEMO_CHUNK = 64_000_000, 48
+#: Positions of a chunk whose matches are held at once.
+BLOCK = 4096
 _REPLACEMENT = "�"
 
 
@@ -107,17 +110,35 @@ class PieceModel:
 
 
 class _Memo(dict):
-    """A dictionary that computes what it lacks and is emptied when full."""
+    """A dictionary that computes what it lacks and is emptied when full; what has more characters than ``longest`` is computed anew."""
 
-    def __init__(self, compute, limit: int = MEMO_ENTRIES):
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute, size, longest: int = MEMO_CHUNK, limit: int = MEMO_BYTES):
+        self.compute, self.size, self.longest, self.limit, self.used = compute, size, longest, limit, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) > self.longest:
+            return value
+        self.used += self.size(key, value)
+        if self.used > self.limit:
+            self.forget()
+            self.used = self.size(key, value)
+        self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.used = 0
+
+
+def _pair_size(pair: tuple[str, str], fits: bool) -> int:
+    """Bytes of a remembered pair: its tuple, two strings of up to four bytes a character, its place in the table."""
+    return 360 + 4 * (len(pair[0]) + len(pair[1]))
+
+
+def _chunk_size(chunk: str, both: tuple[bytes, str]) -> int:
+    return 420 + 4 * len(chunk) + len(both[0]) + 4 * len(both[1])
+
 
 class Codec:
     """Encoder and decoder for one model; holds its memo tables."""
@@ -133,14 +154,15 @@ class Codec:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.chunked = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.compatible = _Memo(self._compatible)
+        self.longest = max(map(len, self.ids), default=1)
+        self.compatible = _Memo(self._compatible, _pair_size)
         #: Of a chunk, and of a word that follows one space: (ids packed little-endian, the text that they decode to).
-        self.chunks = _Memo(lambda chunk: self._both(self.encode_chunk(chunk)))
-        self.words = _Memo(lambda word: self._both(self.encode_chunk(MARK + word)))
+        self.chunks = _Memo(lambda chunk: self._both(self.encode_chunk(chunk)), _chunk_size)
+        self.words = _Memo(lambda word: self._both(self.encode_chunk(MARK + word)), _chunk_size)
 
     def forget(self) -> None:
         for memo in (self.chunks, self.words, self.compatible):
-            memo.clear()
+            memo.forget()
 
     def merge(self, text: str) -> list[str]:
         """The merge rule itself: the best-scored adjacent pair that is a piece, the leftmost of equals, again and again."""
@@ -175,18 +197,35 @@ class Codec:
             before = piece
         return True
 
-    def _backtrack(self, chunk: str) -> list[int]:
-        starts: list[list[str]] = [[] for _ in chunk]
-        for end, piece in self.automaton.iter(chunk):
-            starts[end + 1 - len(piece)].append(piece)  # by rising end, so by rising length
-        for i, found in enumerate(starts):
+    def _matches(self, chunk: str, begin: int) -> list[list[str]]:
+        """The pieces that start at each place of the block from ``begin``, by rising length."""
+        size = min(BLOCK, len(chunk) - begin)
+        out: list[list[str]] = [[] for _ in range(size)]
+        for end, piece in self.automaton.iter(chunk, begin, min(begin + size + self.longest, len(chunk))):
+            if (at := end + 1 - len(piece) - begin) < size:
+                out[at].append(piece)  # by rising end, so by rising length
+        for i, found in enumerate(out):
             if not found or len(found[0]) > 1:
-                found.insert(0, chunk[i])  # a character that isn't a piece is a symbol too
+                found.insert(0, chunk[begin + i])  # a character that isn't a piece is a symbol too
+        return out
+
+    def _backtrack(self, chunk: str) -> list[int]:
+        held: dict[int, list[list[str]]] = {}
+
+        def starts(at: int) -> list[str]:
+            """The pieces that start at a place, by length; those of the block around it are found together."""
+            block = at // BLOCK
+            if block not in held:
+                if len(held) > 2:
+                    held.pop(next(iter(held)))
+                held[block] = self._matches(chunk, block * BLOCK)
+            return held[block][at % BLOCK]
+
         failed = bytearray((len(chunk) >> 3) + 1)
         path: list[tuple[str, int]] = []
-        at, choice = 0, len(starts[0]) - 1 if chunk else 0
+        at, choice = 0, len(starts(0)) - 1 if chunk else 0
         while at < len(chunk):
-            before, found = path[-1][0] if path else "", starts[at]
+            before, found = path[-1][0] if path else "", starts(at)
             while choice >= 0:
                 piece = found[choice]
                 end = at + len(piece)
@@ -196,7 +235,7 @@ class Codec:
             if choice >= 0:
                 path.append((found[choice], choice))
                 at = end
-                choice = len(starts[at]) - 1 if at < len(chunk) else 0
+                choice = len(starts(at)) - 1 if at < len(chunk) else 0
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece, choice = path.pop()
@@ -300,10 +339,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
         model = docs.sparkSession.sparkContext.broadcast(file.read())
     PieceModel.parse(model.value)
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    out_schema = pa.schema(
-        [("k", pa.int64()), ("n_tokens", pa.int64())]
-        + ([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-    )
+    names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["k", "n_tokens", "ids", "decoded"]
 
     def run(batches):
         own = codec(model.value)
@@ -320,7 +356,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
                 else:
                     flat = np.frombuffer(b"".join(packed_ids), "<i4")
                     ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), ids, pa.array(texts, pa.string())], schema=out_schema)
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), ids, pa.array(texts, pa.string())], names=names)
 
-    kind = "k bigint, n_tokens bigint, " + tail
-    return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInArrow(run, kind).withColumnRenamed("k", key)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, n_tokens bigint, {tail}").withColumnRenamed("k", key)
