@@ -1,9 +1,13 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin.
 
-Words are lower-cased runs of letters and digits. Documents and items are joined on every
-k-gram of words they share (the seeds); since every match of k words or more holds a seed,
-the seeds tell all of them, and no document's text moves. A pair whose seeds could not
-cover enough of the item is dropped. The others are tiled: windows of the search length
+Words are lower-cased runs of letters and digits; a match of k words or more holds a shared
+k-gram of words (a seed), so the seeds tell all matches and no document's text moves. Tiles
+that cover a share c of an item's n words hold at least c n / k of its gram places, so a
+document that passes has one of the item's rarest grams: all but the c n / k - 1 places whose
+grams are commonest among the documents. Documents and items are joined on those only; a
+gram that all documents and all items have brings no pair together. Pairs that meet are
+joined on all their seeds, one row a place in the document, and dropped if these could not
+cover enough of the item. The others are tiled: windows of the search length
 are hashed by a rolling Karp-Rabin hash, matches are extended and compared word by word,
 the longest are marked first and never overlap, and the search length falls until it is k.
 The share of an item's words under tiles is its coverage; passages in another order keep
@@ -15,7 +19,8 @@ The seeds' hashes filter document grams inside the tasks where a benchmark has a
 Defined results: null or empty texts and items match nothing; rows without an id are not
 reported and stay; items shorter than k words
 are never matched; rows that repeat a doc_id and text are reported once a pair; items that
-repeat are reported each; extra columns are ignored.
+repeat with their id are reported once, with another id each; ids are of any type; texts of
+any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +30,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import Tables, only, remember, without
+from murmur.llm.common import Tables, arrow_batches, only, remember, without
 
 FILTER_GRAMS = 4_000_000
 _MEMO_WORDS = 150_000
@@ -124,24 +129,31 @@ def contaminated(
     tables: Tables | None = None,
 ) -> DataFrame:
     """(``key``, ``item_key``, coverage, n_tiles, tiles as text) of every document and item that pass."""
-    spark = docs.sparkSession
-    tables = tables or Tables(spark, "decontaminate")
-    item_schema = pa.schema([("item", pa.string()), ("words", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+    with arrow_batches(docs.sparkSession, 1000):
+        return _contaminated(docs, benchmark, key, text, item_key, item_text, k, coverage, tables or Tables(docs.sparkSession, "decontaminate"))
 
-    def read_items(batches):
+
+def _benchmark(benchmark: DataFrame, item_key: str, item_text: str, k: int, tables: Tables) -> DataFrame:
+    """(row, item, words, grams) of every distinct item."""
+
+    def read(batches):
         for batch in batches:
             found = [word_hashes(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([w.astype(np.int64) for w in found], pa.list_(pa.int64())), pa.array([gram_hashes(w, k) for w in found], pa.list_(pa.int64()))], schema=item_schema)
+            words, grams = pa.array([w.astype(np.int64) for w in found], pa.list_(pa.int64())), pa.array([gram_hashes(w, k) for w in found], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), words, grams], names=["item", "words", "grams"])
+
+    rows = benchmark.select(F.col(item_key).alias("item"), F.col(item_text).alias("t"))
+    items = rows.mapInArrow(read, f"item {rows.schema['item'].dataType.simpleString()}, words array<bigint>, grams array<bigint>")
+    return tables.write(items.withColumn("row", F.xxhash64("item", "words")).dropDuplicates(["row"]), "items")
 
-    items = benchmark.select(F.col(item_key).cast("string"), F.col(item_text).alias("t")).mapInArrow(read_items, "item string, words array<bigint>, grams array<bigint>")
-    items = tables.write(items.withColumn("row", F.xxhash64("item", "words")).dropDuplicates(["row"]), "items")
-    grams = tables.write(items.select("row", F.size("words").alias("n"), F.posexplode("grams").alias("ipos", "h")), "grams")
+
+def _seeds(docs: DataFrame, key: str, text: str, grams: DataFrame, k: int, tables: Tables) -> DataFrame:
+    """(d, th, dpos, h): the places of the documents' grams, those of the benchmark alone where it has few."""
     wanted = grams.select("h").distinct()
     few = wanted.count() <= FILTER_GRAMS
-    sieve = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in wanted.collect()], np.int64))) if few else None
-    seed_schema = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("dpos", pa.int32()), ("h", pa.int64())])
+    sieve = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["h"].to_numpy())) if few else None
 
-    def read_docs(batches):
+    def read(batches):
         only("decontaminate")
         sorted_grams = sieve.value if sieve is not None else None
         bits = None
@@ -149,8 +161,8 @@ def contaminated(
             bits = np.zeros(1 << 24, np.bool_)
             bits[sorted_grams & 0xFFFFFF] = True
         for batch in batches:
-            ids, hashes, places, grams_found = [], [], [], []
-            for d, th, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            rows, places, found = [], [], []
+            for r, value in enumerate(batch.column(2).to_pylist()):
                 own = gram_hashes(word_hashes(value), k)
                 at = np.arange(len(own))
                 if bits is not None and len(own):
@@ -159,30 +171,43 @@ def contaminated(
                         spot = np.minimum(np.searchsorted(sorted_grams, own[at]), len(sorted_grams) - 1)
                         at = at[sorted_grams[spot] == own[at]]
                 if len(at):
-                    ids += [d] * len(at)
-                    hashes.append(np.full(len(at), th, np.int64))
+                    rows.append(np.full(len(at), r))
                     places.append(at.astype(np.int32))
-                    grams_found.append(own[at])
-            if ids:
-                yield pa.record_batch([pa.array(ids, pa.int64()), *[np.concatenate(x) for x in (hashes, places, grams_found)]], schema=seed_schema)
-
-    rows = docs.select(F.col(key).cast("bigint"), F.xxhash64(text), F.col(text).alias("t"))
-    seeds = tables.write(rows.mapInArrow(read_docs, "d bigint, th bigint, dpos int, h bigint"), "seeds")
-    met = seeds.join(grams, "h").select("d", "th", "row", "n", "dpos", "ipos")
+                    found.append(own[at])
+            if rows:
+                which = pa.array(np.concatenate(rows))
+                yield pa.record_batch([batch.column(0).take(which), batch.column(1).take(which), pa.array(np.concatenate(places)), pa.array(np.concatenate(found))], names=["d", "th", "dpos", "h"])
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    return tables.write(rows.mapInArrow(read, f"d {rows.schema['d'].dataType.simpleString()}, th bigint, dpos int, h bigint"), "seeds")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, k: int, coverage: float, tables: Tables) -> DataFrame:
+    items = _benchmark(benchmark, item_key, item_text, k, tables)
+    # One row a distinct gram of an item, with its places: a gram that repeats in both texts makes no pairs of places.
+    placed = items.select("row", F.size("words").alias("n"), F.posexplode("grams").alias("ipos", "h"))
+    grams = tables.write(placed.groupBy("row", "n", "h").agg(F.sort_array(F.collect_list("ipos")).alias("ips")), "grams")
+    seeds = _seeds(docs, key, text, grams, k, tables)
+    # An item's places that documents must hit at least, less one, may be its commonest: the other grams bring pairs together.
+    spare = F.ceil(F.ceil(F.lit(coverage) * F.col("n") - 1e-9) / k) - 1
+    common = seeds.groupBy("h").agg(F.count("*").alias("seen"))
+    order = Window.partitionBy("row").orderBy(F.desc("seen"), "h")
+    ranked = grams.join(common, "h").withColumn("upto", F.sum(F.size("ips")).over(order))
+    rare = tables.write(ranked.where(F.col("upto") > spare).select("row", "h"), "rare")
+    near = tables.write(seeds.join(rare, "h").select("d", "th", "row").distinct(), "near")
+    met = seeds.join(near, ["d", "th"]).join(grams, ["row", "h"])
+    pairs = met.groupBy("d", "th", "row", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ips")))).alias("ps"), F.collect_set(F.struct("dpos", F.col("ips")[0].alias("ipos"))).alias("seeds"))
     # What the seeds of a pair could cover at best: item words under any seed.
-    reach = met.groupBy("d", "th", "row", "n").agg(F.array_sort(F.collect_set("ipos")).alias("ps"))
     best = F.aggregate(F.transform("ps", lambda p, i: F.least(F.lit(k), F.coalesce(F.get("ps", i + 1) - p, F.lit(k)))), F.lit(0), lambda a, x: a + x)
-    close = reach.where(best >= F.lit(coverage) * F.col("n")).select("d", "th", "row")
-    pairs = met.join(close, ["d", "th", "row"]).distinct().groupBy("d", "th", "row").agg(F.sort_array(F.collect_list(F.struct("dpos", "ipos"))).alias("seeds"))
-    schema = pa.schema([("d", pa.int64()), ("item", pa.string()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("tiles", pa.string())])
+    pairs = tables.write(pairs.where(best >= F.lit(coverage) * F.col("n")).select("d", "row", "seeds"), "pairs")
 
     def tile(batches):
         for batch in batches:
-            out = []
-            for d, item, words, own in zip(*(batch.column(j).to_pylist() for j in range(4))):
+            rows, out = [], []
+            for r, (words, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 # The text's words under seeds are the item's words; a gap stands for all other words.
                 at: dict[int, int] = {}
-                for s in own:
+                for s in sorted(own, key=lambda s: s["dpos"]):
                     for j in range(k):
                         at[s["dpos"] + j] = words[s["ipos"] + j]
                 places, part, before = [], [], None
@@ -196,17 +221,21 @@ def contaminated(
                 found = sorted((places[t], i, n) for t, i, n in tiles(part, words, k))
                 share = sum(n for _, _, n in found) / len(words)
                 if share >= coverage:
-                    out.append((d, item, share, len(found), ",".join(f"{t}:{i}:{n}" for t, i, n in found)))
-            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+                    rows.append(r)
+                    out.append((share, len(found), ",".join(f"{t}:{i}:{n}" for t, i, n in found)))
+            which = pa.array(rows, pa.int64())
+            told = [pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.float64(), pa.int64(), pa.string()))]
+            yield pa.record_batch([batch.column(0).take(which), batch.column(1).take(which), *told], names=["d", "item", "coverage", "n_tiles", "tiles"])
 
     rows = pairs.join(items.select("row", "item", "words"), "row").select("d", "item", "words", "seeds")
-    found = rows.mapInArrow(tile, "d bigint, item string, coverage double, n_tiles bigint, tiles string")
-    kind = dict(benchmark.dtypes)[item_key]
-    return found.select(F.col("d").alias(key), F.col("item").cast(kind).alias(item_key), "coverage", "n_tiles", "tiles")
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    found = rows.mapInArrow(tile, f"d {kind('d')}, item {kind('item')}, coverage double, n_tiles bigint, tiles string")
+    return found.select(F.col("d").alias(key), F.col("item").alias(item_key), "coverage", "n_tiles", "tiles")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **settings) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
     tables = Tables(docs.sparkSession, "decontaminate")
-    found = tables.write(contaminated(docs, benchmark, key=key, tables=tables, **settings), "found")
+    with arrow_batches(docs.sparkSession, 1000):
+        found = tables.write(contaminated(docs, benchmark, key=key, tables=tables, **settings).select(key), "found")
     return without(docs, found, key)
