@@ -1,21 +1,22 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is read into text blocks, each with the path of tags (and class names) from the
-root to it. What the page itself marks as no content goes first: navigation, headers,
-footers, asides, forms, dialogs, adverts, notices, comments and hidden parts, by tag,
-role or the words of class and id. The other blocks are weighed by path: characters and
-punctuation marks are summed over all blocks of a path and divided by their number, links
-discounted, and fused into one ratio; ratios are smoothed over similar paths by a Gaussian
-of the path edit distance; paths under a share of the best smoothed ratio are dropped.
-Where a page has an article, main or
-articleBody element, paths outside it weigh less and paths inside it are dropped under a
-smaller share only.
+root to it. Characters and punctuation marks are summed over all blocks of a path and
+divided by their number, which makes the path's plain ratio; ratios are smoothed over the
+paths that come before and after it on the page, by a Gaussian of the path edit distance;
+the geometric mean of both, less the share of links, is the fused ratio. What a page says
+of its parts weighs in it: navigation, headers, footers, asides, forms, dialogs, adverts,
+notices, comments and hidden parts, by tag, role or the words of class and id, have a
+factor of ``HARD`` or ``SOFT``, and where a page has an article, main or articleBody
+element, what lies outside has ``outside``. Paths under a share of the best fused ratio
+(a smaller share inside an article), or under ``LEAST``, are dropped.
 
 Defined results: a null or empty page gives an empty text; a page without content blocks
 too; a page cut off in the middle gives the text it has; repeated rows give the same text
-twice; clashing extra columns are not touched; time grows in proportion to a page's
-length times its number of distinct paths squared, which is bounded by ``MAX_DEPTH``
-and in practice a few dozen.
+twice; ids are of any type; extra columns are ignored; time grows in proportion to a
+page's length: an open element that a tag closes is looked for among the ``REACH``
+innermost ones, a path has ``MAX_DEPTH`` steps at most, and a ratio is smoothed over
+``NEIGHBOURS`` paths on either side.
 """
 
 from __future__ import annotations
@@ -31,6 +32,14 @@ from pyspark.sql import functions as F
 
 #: A path keeps at most so many steps; deeper elements share their ancestor's path.
 MAX_DEPTH = 64
+#: An implied end tag, and the end of an inline element, looks at so many open elements.
+REACH = 64
+#: Paths on either side, in page order, over which a ratio is smoothed; edit distances are counted up to this many.
+NEIGHBOURS, FAR = 8, 4
+#: Factors of the ratios of parts that the page marks as no content by tag or role, or by a word of class or id.
+HARD, SOFT = 0.001, 0.001
+#: A fused ratio under this is no text at all: marked parts can't reach it on a page that has nothing else.
+LEAST = 0.05
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "ruby", "rb", "rt", "rp"}
@@ -62,8 +71,13 @@ class _Page:
     """Elements of a page in order (parent, tag, path, mark) and its text blocks."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.mark, self.root = [-1], [""], [()], [0], [False]
+        self.parent, self.tag, self.path, self.mark, self.root = [-1], [""], [0], [0], [False]
+        self.holder = [0]  # the innermost element around each one, itself included, that isn't inline
+        self.paths: list[tuple[str, ...]] = [()]  # a path's steps, by number
+        self.numbers: dict[tuple[int, str], int] = {}
         self.stack = [0]
+        self.open: dict[str, int] = {}  # how many elements of a tag are open
+        self.roots = 0  # and how many articles
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.buffer: list[str] = []
         self.linked = 0
@@ -74,10 +88,7 @@ class _Page:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             if text:
-                at = len(self.stack) - 1
-                while at and self.tag[self.stack[at]] in _INLINE:
-                    at -= 1
-                self.blocks.append((self.stack[at], text, min(self.linked, len(text))))
+                self.blocks.append((self.holder[self.stack[-1]], text, min(self.linked, len(text))))
             self.buffer, self.linked = [], 0
 
     def _text(self, raw: str) -> None:
@@ -85,11 +96,15 @@ class _Page:
             return
         text = unescape(raw) if "&" in raw else raw
         self.buffer.append(text)
-        if any(self.tag[i] == "a" for i in self.stack):
+        if self.open.get("a"):
             self.linked += len(text.strip())
 
-    def _hard(self) -> bool:
-        return self.mark[self.stack[-1]] == 2
+    def _leave(self, at: int) -> None:
+        """Closes the open elements from a place of the stack on."""
+        for i in self.stack[at:]:
+            self.open[self.tag[i]] -= 1
+            self.roots -= self.root[i]
+        del self.stack[at:]
 
     def _open(self, tag: str, raw: str) -> None:
         if tag == "br" or tag == "wbr" or tag == "img":
@@ -98,52 +113,58 @@ class _Page:
         if tag not in _INLINE:
             self._flush()
             closing = _SIBLINGS.get(tag, {"p"} if tag in _CLOSES_P else ())
-            for at in range(len(self.stack) - 1, 0, -1):
-                own = self.tag[self.stack[at]]
-                if own in closing or tag in _CLOSES_P and own == "p":
-                    del self.stack[at:]
-                    if tag not in ("tr", "tbody"):
+            if self.open.get("p") and tag in _CLOSES_P or any(self.open.get(t) for t in closing):
+                for at in range(len(self.stack) - 1, max(len(self.stack) - 1 - REACH, 0), -1):
+                    own = self.tag[self.stack[at]]
+                    if own in closing or tag in _CLOSES_P and own == "p":
+                        self._leave(at)
+                        if tag not in ("tr", "tbody"):
+                            break
+                    elif own in _SCOPE:
                         break
-                elif own in _SCOPE:
-                    break
         if tag in _VOID:
             return
         above = self.stack[-1]
-        mark, label, root = self.mark[above] == 2 and 2 or 0, tag, False
-        if not mark:
-            attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
-            inside = any(self.root[i] for i in self.stack)
-            names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-            words = {w.lower() for w in _WORDS.findall(names)}
-            label = tag + "".join(f".{c}" for c in sorted(attributes.get("class", "").split())[:3])
-            role = attributes.get("role", "").lower()
-            hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-            root = tag in _ROOT_TAGS or role in ("main", "article") or "articlebody" in attributes.get("itemprop", "").lower()
-            if tag in _BOILER_TAGS or role in _BOILER_ROLES or hidden or tag == "header" and not inside:
-                mark = 2
-            elif words & _BOILER_WORDS and tag not in _NEVER_SOFT:
-                mark = 2 if tag in _ROOT_TAGS and words & {"comment", "comments", "reply"} else 1
-        path = self.path[above]
+        attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
+        words = {w.lower() for w in _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
+        role = attributes.get("role", "").lower()
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        root = tag in _ROOT_TAGS or role in ("main", "article") or "articlebody" in attributes.get("itemprop", "").lower()
+        mark = self.mark[above] == 2 and 2 or 0
+        if tag in _BOILER_TAGS or role in _BOILER_ROLES or hidden or tag == "header" and not self.roots:
+            mark = 2
+        elif not mark and words & _BOILER_WORDS and tag not in _NEVER_SOFT:
+            mark = 2 if tag in _ROOT_TAGS and words & {"comment", "comments", "reply"} else 1
+        number, inline = self.path[above], tag in _INLINE
+        if not inline and len(self.paths[number]) < MAX_DEPTH:
+            step = (number, tag + "".join(f".{c}" for c in sorted(attributes.get("class", "").split())[:3]))
+            if step not in self.numbers:
+                self.numbers[step] = len(self.paths)
+                self.paths.append((*self.paths[number], step[1]))
+            number = self.numbers[step]
         self.parent.append(above)
         self.tag.append(tag)
-        self.path.append((*path, label) if tag not in _INLINE and len(path) < MAX_DEPTH else path)
+        self.path.append(number)
         self.mark.append(mark)
-        self.root.append(root)
+        self.root.append(root and mark < 2)
+        self.holder.append(self.holder[above] if inline else len(self.tag) - 1)
         self.stack.append(len(self.tag) - 1)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.roots += self.root[-1]
 
     def _close(self, tag: str) -> None:
         inline = tag in _INLINE
-        for at in range(len(self.stack) - 1, 0, -1):
+        if not inline:
+            self._flush()
+        if not self.open.get(tag):
+            return
+        for at in range(len(self.stack) - 1, max(len(self.stack) - 1 - REACH, 0) if inline else 0, -1):
             own = self.tag[self.stack[at]]
             if own == tag:
-                if not inline:
-                    self._flush()
-                del self.stack[at:]
+                self._leave(at)
                 return
             if inline and own not in _INLINE:
                 return
-        if not inline:
-            self._flush()
 
     def _read(self, html: str) -> None:
         at, size = 0, len(html)
@@ -208,25 +229,30 @@ class _Page:
 
 
 def _distance(a: tuple, b: tuple) -> int:
-    """Edit distance of two paths, by steps."""
+    """Edit distance of two paths, by steps; ``FAR`` where it is as much or more."""
+    if abs(len(a) - len(b)) >= FAR:
+        return FAR
     same = 0
     while same < len(a) and same < len(b) and a[same] == b[same]:
         same += 1
     a, b = a[same:], b[same:]
     row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
+    for i, x in enumerate(a, 1):  # a band around the diagonal: what lies outside is as far as FAR
+        lo, hi = max(1, i - FAR), min(len(b), i + FAR)
+        before, row[lo - 1] = row[lo - 1], i if lo == 1 else FAR
+        for j in range(lo, hi + 1):
+            before, row[j] = row[j], min((row[j] if j < i + FAR else FAR) + 1, row[j - 1] + 1, before + (x != b[j - 1]))
+    return min(row[-1], FAR)
 
 
 def path_ratios(blocks: list[tuple[tuple, str, int]], sigma: float = 1.0) -> dict[tuple, float]:
-    """The fused ratio of each path. blocks: (path, text, characters in links).
+    """The fused ratio of each path. blocks: (path, text, characters in links) in page order.
 
+    A path is (group, steps); paths of different groups are not smoothed over each other.
     Characters and punctuation marks a block, as logarithms, make the plain ratio; the
-    Gaussian of the path edit distance smooths it; fused is the geometric mean of both,
-    less the share of its characters that are links (a heading may be one).
+    Gaussian of the path edit distance smooths it over the neighbouring paths of its group;
+    fused is the geometric mean of both, less the share of its characters that are links
+    (a heading may be one).
     """
     total: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for path, text, linked in blocks:
@@ -234,22 +260,30 @@ def path_ratios(blocks: list[tuple[tuple, str, int]], sigma: float = 1.0) -> dic
         own[0] += 1
         own[1] += len(text)
         own[2] += len(_PUNCTUATION.findall(text))
-        own[3] += 0 if len(path) > 1 and path[-1][:2] in _HEADINGS else linked
+        own[3] += 0 if len(path[1]) > 0 and path[1][-1][:2] in _HEADINGS else linked
     raw = {p: math.log1p(length / n) * (1 + math.log1p(marks / n)) for p, (n, length, marks, _) in total.items()}
+    groups: dict[object, list[tuple]] = defaultdict(list)
+    for p in total:
+        groups[p[0]].append(p)
+    gauss = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(FAR)] + [0.0]
     fused = {}
-    for p, (_, length, _, linked) in total.items():
-        weight = {q: math.exp(-(_distance(p, q) ** 2) / (2 * sigma * sigma)) for q in raw}
-        smooth = sum(w * raw[q] for q, w in weight.items()) / sum(weight.values())
-        fused[p] = math.sqrt(raw[p] * smooth) * (1 - linked / length)
+    for order in groups.values():
+        for at, p in enumerate(order):
+            near = order[max(at - NEIGHBOURS, 0) : at + NEIGHBOURS + 1]
+            weight = [gauss[_distance(p[1], q[1])] for q in near]
+            smooth = sum(w * raw[q] for w, q in zip(weight, near)) / sum(weight)
+            _, length, _, linked = total[p]
+            fused[p] = math.sqrt(raw[p] * smooth) * (1 - linked / length)
     return fused
 
 
-def extract(html: str | None, *, share: float = 0.2, share_inside: float = 0.02, outside: float = 0.02, sigma: float = 1.0) -> str:
+def extract(html: str | None, *, share: float = 0.2, share_inside: float = 0.02, outside: float = 0.02, sigma: float = 1.0, hard: float = HARD, soft: float = SOFT, least: float = LEAST) -> str:
     """The main text of a page.
 
     share: of the best fused ratio, under which a path is dropped; share_inside: the same
-    for paths inside an article or main element; outside: the weight of paths outside it,
-    where a page has one with text.
+    for paths inside an article or main element; outside: the factor of paths outside it,
+    where a page has one with text; hard, soft: the factors of marked parts; least: the
+    ratio that any text needs.
     """
     page = _Page(html or "")
     size = [0] * len(page.tag)
@@ -259,31 +293,29 @@ def extract(html: str | None, *, share: float = 0.2, share_inside: float = 0.02,
     for i in range(len(size) - 1, 0, -1):
         size[page.parent[i]] += size[i]
         holds[page.parent[i]] |= holds[i]
-    drop, inside = [False] * len(size), [False] * len(size)
+    mark, inside = [0] * len(size), [False] * len(size)
     for i in range(1, len(size)):
         # A part that its class names as no content still is a wrapper if the article or most of the page is in it.
-        soft = page.mark[i] == 1 and not holds[i] and size[i] * 2 <= size[0]
-        drop[i] = drop[page.parent[i]] or page.mark[i] == 2 or soft
+        wrapper = page.mark[i] == 1 and (holds[i] or size[i] * 2 > size[0])
+        mark[i] = max(mark[page.parent[i]], 0 if wrapper else page.mark[i])
         inside[i] = inside[page.parent[i]] or page.root[i]
-    blocks = [((inside[at], *page.path[at]), text, linked) for at, text, linked in page.blocks if not drop[at]]
-    if not blocks:
-        return ""
-    bounded = any(path[0] for path, _, _ in blocks)
-    ratio = {p: r * (outside if bounded and not p[0] else 1) for p, r in path_ratios(blocks, sigma).items()}
-    best = max(ratio.values())
-    return "\n".join(text for path, text, _ in blocks if ratio[path] > 0 and ratio[path] >= (share_inside if path[0] else share) * best)
+    blocks = [(((mark[at], inside[at]), page.paths[page.path[at]]), text, linked) for at, text, linked in page.blocks]
+    bounded = any(own == (0, True) for (own, _), _, _ in blocks)
+    factor = {(m, i): (1, soft, hard)[m] * (outside if bounded and not i else 1) for m in range(3) for i in (False, True)}
+    ratio = {p: r * factor[p[0]] for p, r in path_ratios(blocks, sigma).items()}
+    best = max(ratio.values(), default=0)
+    return "\n".join(text for path, text, _ in blocks if ratio[path] >= max((share_inside if path[0][1] else share) * best, least))
 
 
 def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", share: float = 0.2, sigma: float = 1.0) -> DataFrame:
     """``key``, ``url``, text and n_chars (code points) of every page. A narrow step without shuffle."""
-    out = pa.schema([("k", pa.int64()), ("u", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = [extract(h, share=share, sigma=sigma) for h in part.column(2).to_pylist()]
-                yield pa.record_batch([part.column(0), part.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=out)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["k", "u", "text", "n_chars"])
 
-    found = pages.select(F.col(key).cast("bigint").alias("k"), F.col(url).cast("string").alias("u"), F.col(html).alias("h"))
-    return found.mapInArrow(run, "k bigint, u string, text string, n_chars bigint").withColumnsRenamed({"k": key, "u": url})
+    found = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("h"))
+    kind = lambda c: found.schema[c].dataType.simpleString()
+    return found.mapInArrow(run, f"k {kind('k')}, u {kind('u')}, text string, n_chars bigint").withColumnsRenamed({"k": key, "u": url})
