@@ -15,8 +15,9 @@ a run that a third of all texts hold is met by one row on the other side, so Spa
 split it.
 
 Defined results: a null or empty text has no sentence; rows that repeat a doc_id are one
-document; of equal texts the smallest doc_id keeps them; what is left of a text
-keeps its own white space; extra columns are ignored.
+document, which keeps what only they share, and repeated rows give one row; of equal texts
+the smallest doc_id keeps them; what is left of a text keeps its own white space; ids are of
+any type that can be ordered; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,21 +80,23 @@ def runs_of(text: str | None, sentences: int, words: int) -> list[tuple[int, int
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sentences: int = 3, words: int = 25, tables: Tables | None = None) -> DataFrame:
     """(d, th, runs): the runs (at, n) of each document that another place holds first."""
     tables = tables or Tables(docs.sparkSession, "span-dedup")
-    schema = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h", pa.int64())])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
 
     def read(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
-                rows = []
-                for d, th, value in zip(*(batch.column(j).slice(begin, 500).to_pylist() for j in range(3))):
+                part, rows = batch.slice(begin, 500), []
+                for r, value in enumerate(part.column(2).to_pylist()):
                     seen: set[int] = set()
                     for at, n, h in runs_of(value, sentences, words):
-                        rows.append((d, th, at, n, None if h in seen else h))  # no hash: not the first place
+                        rows.append((r, at, n, None if h in seen else h))  # no hash: not the first place
                         seen.add(h)
                 if rows:
-                    yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    which, *told = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
+                    yield pa.record_batch([part.column(0).take(which), part.column(1).take(which), *told], names=["d", "th", "at", "n", "h"])
 
-    found = docs.select(F.col(key).cast("bigint").alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t")).mapInArrow(read, "d bigint, th bigint, at int, n int, h bigint")
+    own = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    found = own.mapInArrow(read, f"d {own.schema['d'].dataType.simpleString()}, th bigint, at int, n int, h bigint")
     runs = tables.write(found, "runs")
     firsts = runs.where("h IS NOT NULL").groupBy("h").agg(F.min("d").alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first")
     others = runs.where("h IS NOT NULL").join(firsts, "h").where("d <> first").drop("first")
@@ -105,13 +108,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """A row for each document that loses sentences: ``key``, n_sentences, n_removed, spans (start:end in code points), text (what is left)."""
     tables = tables or Tables(docs.sparkSession, "span-dedup")
     spans = repeated_spans(docs, key=key, text=text, sentences=sentences, words=words, tables=tables)
-    own = docs.select(F.col(key).cast("bigint").alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    schema = pa.schema([("d", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.string()), ("text", pa.string())])
+    own = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    names = ["d", "n_sentences", "n_removed", "spans", "text"]
 
     def cut(batches):
         for batch in batches:
             rows = []
-            for d, value, found in zip(*(batch.column(j).to_pylist() for j in range(3))):
+            for value, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 cuts = sentences_of(value)
                 gone = [False] * len(cuts)
                 reached = 0
@@ -125,8 +128,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                         spans[-1][1] = b
                     elif g:
                         spans.append([a, b])
-                rows.append((d, len(cuts), sum(gone), ",".join(f"{a}:{b}" for a, b in spans), "".join(value[a:b] for (a, b, _), g in zip(cuts, gone) if not g)))
-            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+                rows.append((len(cuts), sum(gone), ",".join(f"{a}:{b}" for a, b in spans), "".join(value[a:b] for (a, b, _), g in zip(cuts, gone) if not g)))
+            told = [pa.array([row[j] for row in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            yield pa.record_batch([batch.column(0), *told], names=names)
 
     met = own.join(spans, own["d"].eqNullSafe(spans["d"]) & (own["th"] == spans["th"])).select(own["d"], own["th"], "t", "runs").dropDuplicates(["d", "th"])
-    return met.select("d", "t", "runs").mapInArrow(cut, "d bigint, n_sentences bigint, n_removed bigint, spans string, text string").withColumnsRenamed({"d": key})
+    return met.select("d", "t", "runs").mapInArrow(cut, f"d {met.schema['d'].dataType.simpleString()}, n_sentences bigint, n_removed bigint, spans string, text string").withColumnsRenamed({"d": key})
