@@ -93,3 +93,49 @@ chosen AS (SELECT lang, rule, max(struct_pack(gain := bad - {cost} * k, cut := c
 gone AS (SELECT DISTINCT row FROM b JOIN chosen ON b.lang IS NOT DISTINCT FROM chosen.lang WHERE {value} > cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND row NOT IN (SELECT row FROM gone) AS kept FROM b
 """
+
+
+def pii_sql(near: int = 6, reach: int = 120, support: int = 3, generalise: float = 0.9) -> str:
+    """Pattern spans by the plain patterns of the contract, and the terms that disclose an entity."""
+    term = r"[\p{L}\p{N}]+"
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+        ("card", r"[0-9](?:[ -]?[0-9])+"),
+        ("phone", r"\+[0-9][ ().0-9-]+[0-9]"),
+        ("secret", r"""(?i)\b(?:password|passwd|token|secret|api[_-]?key) ?[=:] ?["'']?[A-Za-z0-9+/_-]{12,}["'']?"""),
+    ]
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN substr({digits}, (length({digits}) - i)::INT, 1)::INT ELSE list_value(0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[substr({digits}, (length({digits}) - i)::INT, 1)::INT + 1] END)) % 10 = 0"
+    fine = f"""CASE kind WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(right('000' || x, 3) AS INT), 999) <= 255))
+      WHEN 'card' THEN length({digits}) BETWEEN 12 AND 19 AND {luhn} WHEN 'phone' THEN length({digits}) BETWEEN 9 AND 15 ELSE true END"""
+    matches = " UNION ALL ".join(f"SELECT r, t, {no} AS no, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gaps FROM d" for no, (kind, p) in enumerate(kinds))
+    entity = f"kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {digits} ELSE lower(v) END"
+    words = lambda x: f"regexp_extract_all(lower({x}), '{term}')"
+    told = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no, e)"
+    counts = ", ".join(f"(SELECT count(*) FROM spans x WHERE x.r = d.r AND kind = '{k}')::BIGINT AS n_{k}" for k, _ in kinds[:4])
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({matches}),
+u AS (SELECT r, t, no, kind, i, ms[i] AS v, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0)),
+spans AS (SELECT r, t, no, kind, v, s::BIGINT AS s, (s + length(v))::BIGINT AS e FROM u WHERE {fine}),
+sides AS (
+  SELECT r, t, {entity} AS entity,
+    CASE WHEN s > {reach} THEN regexp_replace(substr(t, s - {reach}, {reach} + 1), '^{term}', '') ELSE substr(t, 1, s) END AS l,
+    CASE WHEN length(t) - e > {reach} THEN regexp_replace(substr(t, e + 1, {reach} + 1), '{term}$', '') ELSE substr(t, e + 1) END AS g
+  FROM spans
+), mentions AS (
+  SELECT DISTINCT r, t, entity, unnest(list_concat(list_reverse({words("l")})[1:{near}], {words("g")}[1:{near}], [NULL])) AS term FROM sides
+), ent AS (SELECT entity, count(DISTINCT r) AS ne FROM mentions GROUP BY 1 HAVING count(DISTINCT t) >= {support}),
+pairs AS (SELECT entity, term, any_value(ne) AS ne, count(*) AS nte FROM mentions JOIN ent USING (entity) WHERE length(term) > 2 GROUP BY 1, 2 HAVING count(DISTINCT t) >= {support}),
+spoken AS (SELECT term, count(*) AS nt FROM (SELECT DISTINCT r, unnest({words("t")}) AS term FROM d) WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
+size AS (SELECT count(*) AS n FROM d),
+revealing AS (SELECT DISTINCT term FROM pairs JOIN spoken USING (term), size WHERE n > ne AND ln(n * nte / (nt * ne)) / ln(n / ne) >= {generalise}),
+w AS (SELECT r, regexp_extract_all(t, '{term}') AS ms, string_split_regex(t, '{term}') AS gaps FROM d WHERE list_has_any({words("t")}, (SELECT coalesce(list(term), []) FROM revealing))),
+terms AS (SELECT r, {len(kinds)} AS no, 'term' AS kind, ms[i] AS v, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM w)),
+every AS (SELECT r, no, kind, s, e FROM spans UNION ALL SELECT r, no, kind, s, s + length(v) FROM terms WHERE lower(v) IN (SELECT term FROM revealing))
+SELECT doc_id, {counts},
+  sha256(coalesce((SELECT {told} FROM every x WHERE x.r = d.r AND no < 4), '')) AS base_sha256,
+  coalesce((SELECT {told} FROM every x WHERE x.r = d.r), '') AS spans
+FROM d
+"""

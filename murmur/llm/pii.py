@@ -13,11 +13,12 @@ support counts distinct texts keeps copies of one text from looking like evidenc
 Everything is DataFrame expressions. Places come from the matches and the gaps between
 them, by prefix sums in blocks, so long texts with many matches stay near linear; the
 patterns are possessive or anchored at the start of a run, so no text makes them step back
-for long. What corpus counting shuffles is pre-aggregated, and the full vocabulary is
-reduced to the candidate terms before it moves.
+for long. Words are counted over all texts, but only the candidate terms among them move:
+where these are few, as counted, a broadcast leaves the others out before the aggregation;
+beyond that the vocabulary is aggregated in each task first and joined by shuffle.
 
 Defined results: a null or empty text has no spans; rows are told apart by id and text,
-so repeated rows are all returned; overlapping spans of different kinds are all reported,
+so repeated rows are all returned; ids are of any type; words cut off by the ``reach`` are no terms; overlapping spans of different kinds are all reported,
 and text is replaced kind by kind in the listed order; extra columns are kept by ``redact``.
 """
 
@@ -121,9 +122,13 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int
     found = F.array_sort(F.concat(*[_spans(F.col("t"), F.lit(p), no, kind, needle) for no, (kind, p, needle) in enumerate(KINDS)]))
 
     def context(s: Column) -> Column:
-        before = F.slice(F.reverse(_words(F.substring(F.col("t"), F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach))))), 1, near)
-        after = F.slice(_words(F.substring(F.col("t"), s["end"] + 1, F.lit(reach))), 1, near)
-        return F.filter(F.array_union(before, after), lambda w: F.length(w) > 2)
+        # One character more than the reach tells whether the outermost word is whole.
+        left = F.substring(F.col("t"), F.greatest(s["start"] - reach - 1, F.lit(0)) + 1, F.least(s["start"], F.lit(reach + 1)))
+        right = F.substring(F.col("t"), s["end"] + 1, F.lit(reach + 1))
+        left = F.when(s["start"] > reach, F.regexp_replace(left, rf"\A{TERM}", "")).otherwise(left)
+        right = F.when(F.length(right) > reach, F.regexp_replace(right, rf"{TERM}\z", "")).otherwise(right)
+        before = F.slice(F.reverse(_words(left)), 1, near)
+        return F.filter(F.array_union(before, F.slice(_words(right), 1, near)), lambda w: F.length(w) > 2)
 
     return rows.select("d", "th", let(found, lambda spans: F.struct(spans.alias("spans"), F.transform(spans, context).alias("near"))).alias("x")).select("d", "th", "x.*")
 
@@ -148,7 +153,10 @@ def revealing_terms(docs: DataFrame, found: DataFrame, tables: Tables, *, text:
     together = pairs.groupBy("e", "term", "th").agg(F.count("*").alias("c"), F.first("ne").alias("ne")).groupBy("e", "term").agg(F.sum("c").alias("nte"), F.count("*").alias("texts"), F.first("ne").alias("ne"))
     candidates = tables.write(together.where(F.col("texts") >= support).drop("texts"), "candidates")
     spoken = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
-    counts = spoken.where(F.length("term") > 2).groupBy("term").agg(F.count("*").alias("nt"))
+    asked = candidates.select("term").distinct()
+    if asked.count() <= BROADCAST_ROWS:
+        spoken = spoken.join(F.broadcast(asked), "term", "left_semi")
+    counts = spoken.groupBy("term").agg(F.count("*").alias("nt"))
     scored = candidates.join(counts, "term").withColumn("n", found.agg(F.count("*").alias("n")).scalar()).where(F.col("n") > F.col("ne"))
     bits = F.log(F.col("n") * F.col("nte") / (F.col("nt") * F.col("ne"))) / F.log(F.col("n") / F.col("ne"))
     return scored.select("e", "term", bits.alias("disclosure")).where(F.col("disclosure") >= generalise)

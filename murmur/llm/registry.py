@@ -101,7 +101,8 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_chat_format": oracles.CHAT_FORMAT,
     "op5_license_scan": license_scan.oracle(),
-    "op6_url_rules": oracles.url_rules_sql(HOST_RULES, BLOCKED_LABELS, [t for t in BLOCKED_SEGMENTS if t.isalnum()], BLOCKED_EXTENSIONS),
+    "op6_url_rules": oracles.url_rules_sql(HOST_RULES, BLOCKED_LABELS, BLOCKED_SEGMENTS, BLOCKED_EXTENSIONS),
     "op7_near_dedup": oracles.NEAR_DEDUP,
+    "op8_pii": oracles.pii_sql(),
     "op10_quality_rules": oracles.quality_sql(quality_rules.RULES),
 }
