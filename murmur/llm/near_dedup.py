@@ -137,18 +137,22 @@ def _sketch(docs: DataFrame, settings: tuple[int, int, int]) -> DataFrame:
 class _Classes:
     """The classes of equal sets (cid, d, th, ...), each with a row of ``docs`` that holds it, and the sets of wanted ones."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, settings: tuple[int, int, int], percent: int):
-        self.docs, self.keys, self.settings, self.percent = docs, classes.select("cid", "d", "th"), settings, percent
+    def __init__(self, docs: DataFrame, classes: DataFrame, repeats: DataFrame | None, settings: tuple[int, int, int], percent: int):
+        self.docs, self.keys, self.repeats, self.settings, self.percent = docs, classes.select("cid", "d", "th"), repeats, settings, percent
 
     def texts(self, wanted: DataFrame) -> DataFrame:
-        """(cid, t) of the wanted classes, by broadcasting their keys where these, which are counted, are few."""
+        """(cid, t) of the wanted classes, once each, by broadcasting their keys where these, which are counted, are few."""
         ids = wanted.select("cid").distinct()
         told = F.broadcast if ids.count() <= BROADCAST_IDS else lambda df: df
         keys = self.keys.join(told(ids), "cid", "left_semi")
-        return self.docs.join(told(keys), ["d", "th"]).select("cid", "t")
+        found = self.docs.join(told(keys), ["d", "th"])
+        if self.repeats is not None:  # only texts of repeated ids move, so that a class's row that repeats counts once
+            again = found.join(self.repeats, "d", "left_semi").dropDuplicates(["cid"])
+            found = found.join(self.repeats, "d", "left_anti").unionByName(again)
+        return found.select("cid", "t")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(cid, shingles as bytes) of the wanted classes, once each however often a row repeats."""
+        """(cid, shingles as bytes) of the wanted classes."""
         settings = self.settings
 
         def run(batches):
@@ -157,7 +161,7 @@ class _Classes:
                 found = pa.array([own.shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
                 yield pa.record_batch([batch.column(0), found], names=["cid", "shingles"])
 
-        return self.texts(wanted).mapInArrow(run, "cid bigint, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
+        return self.texts(wanted).mapInArrow(run, "cid bigint, shingles binary")
 
     def single(self, wanted: DataFrame) -> DataFrame:
         """(cid, shingle): a row for each shingle of the wanted classes."""
@@ -312,7 +316,10 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
     classes = whole.groupBy("sid").agg(F.min(F.struct("d", "th")).alias("rep"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     # Numbers are given as the table is written, and read from it ever after: a task that runs again commits once.
     classes = tables.write(classes.select(F.monotonically_increasing_id().alias("cid"), "sid", "rep.*", "n", "halves"), "classes")
-    own = _Classes(docs, classes, settings, percent)
+    repeats = tables.write(whole.groupBy("d").agg(F.count("*").alias("c")).where("c > 1").select("d"), "repeats")
+    several = repeats.count()
+    told = F.broadcast(repeats) if several <= BROADCAST_IDS else repeats
+    own = _Classes(docs, classes, told if several else None, settings, percent)
     half = classes.select("cid", "n", F.posexplode("halves").alias("pos", "h"))
     shared = half.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     hot = half.join(shared, "h", "left_semi").groupBy("cid", "n").agg(F.collect_list(F.struct("pos", "h")).alias("hs"))
@@ -324,7 +331,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
         return F.explode(F.flatten(F.transform(first, lambda a: F.transform(other(a), lambda b: F.xxhash64(a["h"], b["h"])))))
 
     # 0: the sets of one document are connected.
-    links = tables.write(_same_document(sketches, classes), "links-0")
+    links = tables.write(_same_document(whole, classes, told) if several else docs.sparkSession.createDataFrame([], "a bigint, b bigint"), "links-0")
 
     # 1: the tables (i, i), each bucket against its smallest member.
     table = hot.select("cid", "n", keys(True).alias("key"))
@@ -380,10 +387,9 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
     return answer.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("d") == component, F.lit(True)).alias("kept"))
 
 
-def _same_document(sketches: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all classes of every doc_id whose rows have several sets."""
-    several = sketches.where("n > 0 AND d IS NOT NULL").groupBy("d").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("d")
-    held = sketches.where("n > 0").join(several, "d", "left_semi").select("d", "sid").distinct().join(classes.select("sid", "cid"), "sid")
+def _same_document(whole: DataFrame, classes: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all classes of every repeated doc_id."""
+    held = whole.join(repeats, "d", "left_semi").select("d", "sid").distinct().join(classes.select("sid", "cid"), "sid")
     return held.join(held.groupBy("d").agg(F.min("cid").alias("a")), "d").where("a <> cid").select("a", F.col("cid").alias("b"))
 
 
