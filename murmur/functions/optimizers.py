@@ -29,6 +29,10 @@ class Optimizer:
         d = self.direction(g, hessian, i)
         if self.scale and (n := np.linalg.norm(d)) > 0:
             d = d / n
+        self.state["step"] = (moved := self._moved(x, g, d, rate, objective, at)) - x
+        return moved
+
+    def _moved(self, x: np.ndarray, g: np.ndarray, d: np.ndarray, rate: np.ndarray, objective: Callable | None, at: float | None) -> np.ndarray:
         if not self.line_search or objective is None:
             return x + rate * d
         eta, slope = float(np.mean(rate)), float(g @ d)
@@ -67,18 +71,20 @@ class FullMatrixAdam(Adam):
 
 
 class BFGS(Optimizer):
-    """Inverse-Hessian updates from the second step on; plain descent before."""
+    """Inverse-Hessian updates from the second step on; plain descent before.
+
+    Curvature pairs are of the steps that were taken, with their rate or line search.
+    """
 
     def direction(self, g, hessian, i):
         inverse = self.state.get("inverse", np.eye(len(g)))
         if "g" in self.state:
-            s, y = self.state["d"], g - self.state["g"]
+            s, y = self.state["step"], g - self.state["g"]
             if (sy := float(s @ y)) > 1e-12:
                 a = np.eye(len(g)) - np.outer(s, y) / sy
                 inverse = a @ inverse @ a.T + np.outer(s, s) / sy
-        d = -inverse @ g
-        self.state |= {"inverse": inverse, "g": g, "d": d}
-        return d
+        self.state |= {"inverse": inverse, "g": g}
+        return -inverse @ g
 
 
 class Newton(Optimizer):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,27 +26,36 @@ def softclamp(x: Column, floor: float, sharpness: float) -> Column:
 def logmeanexp(df: DataFrame, by: list[str], x: str, *, ignore_nan: bool = False) -> DataFrame:
     """(by..., lme, n, se): log of the mean of exp(x), and its jackknife standard error.
 
-    Two aggregations, the shift by the group's maximum first. With ignore_nan, the mean is
-    over the values that are numbers; otherwise a NaN makes the result NaN. All -inf gives
-    -inf. One value has no error (NaN).
+    Three grouped aggregations, each combined in its tasks first: the largest value, the
+    shifted sum, and the moments of the means with one left out. Rows meet the row of their
+    group by an equi-join, which Spark broadcasts where groups are few. With ignore_nan, the
+    mean is over the values that are numbers; otherwise a NaN makes the result NaN. All -inf
+    gives -inf. One value has no error (NaN).
     """
-    value = F.col(x)
+    value, low = F.col(x), F.lit(float("-inf"))
     rows = df.where(~F.isnan(value) & value.isNotNull()) if ignore_nan else df
-    top = F.max(value).over(Window.partitionBy(*by))
-    shift = F.when((top == float("-inf")) | F.isnan(top), 0.0).otherwise(top)
-    scaled = rows.select(*by, shift.alias("_m"), F.exp(value - shift).alias("_e"), value.alias("_x"))
-    total, n = F.sum("_e").over(Window.partitionBy(*by)), F.count("*").over(Window.partitionBy(*by))
-    left = scaled.select(*by, "_m", "_e", "_x", total.alias("_s"), n.alias("_n"), F.max(F.when(F.col("_e") < 1, F.col("_x"))).over(Window.partitionBy(*by)).alias("_next"))
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], value.alias("_x"))
+
+    def met(groups: DataFrame) -> DataFrame:
+        same = functools.reduce(lambda p, q: p & q, [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys])
+        return rows.alias("r").join(groups.alias("g"), same).select("r.*", *[F.col(f"g.{c}") for c in groups.columns if c not in keys]).withColumn("_e", F.exp(F.col("_x") - F.col("_m")))
+
+    tops = rows.groupBy(*keys).agg(F.max("_x").alias("_top"), F.count("*").alias("_n"))
+    shift = F.when((F.col("_top") == low) | F.isnan("_top"), 0.0).otherwise(F.col("_top"))
+    sums = met(tops.select(*keys, shift.alias("_m"), "_n")).groupBy(*keys).agg(F.first("_m").alias("_m"), F.first("_n").alias("_n"), F.sum("_e").alias("_s"), F.max(F.when(F.col("_e") < 1, F.col("_x"))).alias("_next"))
+    part, others = F.col("_s") - F.col("_e"), F.nullif(F.col("_n") - 1, F.lit(0))
+    one_out = F.when(part > 0, F.log(part / others))
     # Where the largest value outweighs all others beyond double precision, leaving it out needs a shift by the next one.
-    rest = F.sum(F.when(F.col("_e") < 1, F.exp(F.col("_x") - F.col("_next")))).over(Window.partitionBy(*by))
-    others = F.nullif(F.col("_n") - 1, F.lit(0))
-    part = F.col("_s") - F.col("_e")
-    one_out = F.when(part > 0, F.log(part / others)).otherwise(F.col("_next") - F.col("_m") + F.log(rest / others))
-    jack = left.select(*by, "_m", "_e", "_s", "_n", one_out.alias("_j"))
-    return jack.groupBy(*by).agg(
-        (F.first("_m") + F.coalesce(F.log(F.first("_s") / F.first("_n")), F.lit(float("-inf")))).alias("lme"),
-        F.first("_n").alias("n"),
-        F.when(F.first("_n") > 1, F.sqrt(F.first("_n") - 1) * F.stddev_pop("_j")).otherwise(NAN).alias("se"),
+    rest = F.sum(F.when(F.col("_e") < 1, F.exp(F.col("_x") - F.col("_next"))))
+    moments = met(sums).groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("_m", "_n", "_s", "_next")], rest.alias("_rest"), F.count(one_out).alias("_light"), F.avg(one_out).alias("_mean"), F.var_pop(one_out).alias("_var"))
+    heavy = F.col("_next") - F.col("_m") + F.log(F.col("_rest") / others) - F.col("_mean")
+    spread = F.when(F.col("_light") == F.col("_n"), F.col("_var")).when(F.col("_light") == F.col("_n") - 1, (F.col("_var") + heavy * heavy / F.col("_n")) * F.col("_light") / F.col("_n")).otherwise(NAN)
+    return moments.select(
+        *[F.col(k).alias(c) for k, c in zip(keys, by)],
+        (F.col("_m") + F.coalesce(F.log(F.col("_s") / F.col("_n")), low)).alias("lme"),
+        F.col("_n").alias("n"),
+        F.when(F.col("_n") > 1, F.sqrt(F.col("_n") - 1) * F.sqrt(spread)).otherwise(NAN).alias("se"),
     )
 
 

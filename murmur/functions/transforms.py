@@ -10,11 +10,12 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Transform:
-    """Which parameters are logs, logits or parts of a whole on the estimation scale; the rest stay."""
+    """Which parameters are logs, logits, parts of a whole or multiples on the estimation scale; the rest stay."""
 
     log: tuple[str, ...] = ()
     logit: tuple[str, ...] = ()
     simplex: tuple[tuple[str, ...], ...] = ()
+    scaled: tuple[tuple[str, float], ...] = ()
     custom_to: Callable | None = None
     custom_from: Callable | None = None
 
@@ -31,6 +32,8 @@ class Transform:
                 total = sum(np.asarray(theta[k], float) for k in group)
                 for k in group:
                     out[k] = np.log(np.asarray(theta[k], float) / total)
+        for k, factor in self.scaled:
+            out[k] = out[k] * factor
         return out
 
     def from_est(self, est: dict) -> dict:
@@ -46,6 +49,8 @@ class Transform:
             parts = {k: np.exp(est[k] - top) for k in group}
             total = sum(parts.values())
             out |= {k: v / total for k, v in parts.items()}
+        for k, factor in self.scaled:
+            out[k] = est[k] / factor
         return out
 
     def log_jacobian(self, est: dict) -> float:
@@ -61,7 +66,7 @@ class Transform:
             h = 1e-6
             j = np.column_stack([(at(base + h * e) - at(base - h * e)) / (2 * h) for e in np.eye(len(names))])
             return float(np.linalg.slogdet(j)[1])
-        total = sum(float(est[k]) for k in self.log)
+        total = sum(float(est[k]) for k in self.log) - sum(float(np.log(factor)) for _, factor in self.scaled)
         for k in self.logit:
             p = 1 / (1 + np.exp(-float(est[k])))
             total += float(np.log(p) + np.log1p(-p))

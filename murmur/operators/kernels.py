@@ -226,10 +226,13 @@ def gradient(model: Model, names: list[str], at: np.ndarray, fixed: dict, s: Ser
     return float(out.v), np.nan_to_num(out.d) if dpop else out.d
 
 
-def train(model: Model, theta: dict, series: dict[str, Series], particles: int, iterations: int, rates: np.ndarray, names: list[str], rng, *, optimizer: str | Optimizer = "Adam", alpha: float = 0.97, final_alpha: float | None = None, dpop: bool = False, specific: tuple[str, ...] = (), units: dict[str, dict] | None = None) -> list[dict]:
-    """Descent on the mean negative loglik over all series; iterations + 1 rows, the last value from a plain filter.
+def train(model: Model, theta: dict, series: dict[str, Series], particles: int, iterations: int, rates: np.ndarray, names: list[str], rng, *, optimizer: str | Optimizer = "Adam", alpha: float = 0.97, final_alpha: float | None = None, dpop: bool = False, specific: tuple[str, ...] = (), units: dict[str, dict] | None = None, monitors: int = 0, thresh: float = 0.0) -> list[dict]:
+    """Descent on the mean negative loglik over all series; iterations + 1 rows of (iteration, unit, loglik, parameters).
 
-    ``names`` are the trained parameters. Of several series, parameters in ``specific`` have a value for each (``units``).
+    A row's loglik is the objective's where its step began; with ``monitors`` it is the log
+    mean of so many plain filters at the row's own parameters, the first and last row
+    included. ``names`` are the trained parameters. Of several series, parameters in
+    ``specific`` have a value for each (``units``), and every series draws its own stream.
     """
     opt = OPTIMIZERS[optimizer]() if isinstance(optimizer, str) else optimizer
     base = {u: {k: float(v) for k, v in model.transform.to_est(theta | (units or {}).get(u, {})).items()} for u in series}
@@ -245,9 +248,9 @@ def train(model: Model, theta: dict, series: dict[str, Series], particles: int,
 
     def evaluate(x: np.ndarray, seed: int, a: float) -> tuple[float, np.ndarray]:
         total, grad = 0.0, np.zeros(len(x))
-        for u, s in series.items():
+        for number, (u, s) in enumerate(series.items()):
             own, fixed = placed(x, u)
-            v, g = gradient(model, [slots[i][1] for i in own], x[own], fixed, s, particles, a, seed, dpop=dpop)
+            v, g = gradient(model, [slots[i][1] for i in own], x[own], fixed, s, particles, a, seed + number, dpop=dpop)
             share = len(s.times) / length
             total += share * v
             grad[own] += share * g
@@ -255,6 +258,9 @@ def train(model: Model, theta: dict, series: dict[str, Series], particles: int,
 
     def natural(x: np.ndarray, m: int, loglik: float) -> list[dict]:
         rows = []
+        if monitors:
+            at = {u: {k: float(v) for k, v in model.transform.from_est(placed(x, u)[1]).items()} for u in series}
+            loglik = sum(_log_mean([pfilter(model, at[u], s, particles, rng, thresh=thresh)["loglik"] for _ in range(monitors)]) for u, s in series.items())
         for u in series:
             out = {k: float(v) for k, v in model.transform.from_est(placed(x, u)[1]).items()}
             rows.append({"iteration": m, "unit": u, "loglik": loglik} | out)

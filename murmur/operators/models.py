@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from murmur.functions.duals import value
 from murmur.functions.special import lgamma, log_diff_ndtr
 from murmur.functions.transforms import Transform
 
@@ -210,106 +211,164 @@ def stochastic_volatility() -> Model:
     return Model("stochastic_volatility", ("V", "S"), ("y",), names, rinit, rproc, dmeas, rmeas, covariates=("y_prev",), transform=Transform(log=("kappa", "theta", "xi", "V_0")))
 
 
+#: Measles variants: who has death and mixing parameters, and whose imports follow the population.
+MEASLES = ("001", "001b", "001d", "002", "002d", "003")
+_DEATHS = 0.02
+
+
+def softened(x, floor: float = 0.0, sharpness: float = 100.0):
+    """A smooth maximum of x and floor."""
+    z = sharpness * (x - floor)
+    return floor + (np.maximum(z, 0.0) + np.log1p(np.exp(-np.absolute(z)))) / sharpness
+
+
 def measles(variant: str = "001") -> Model:
-    """SEIR with cohort entry, school terms and gamma noise; cases are a rounded normal of the removals.
+    """SEIR with cohort entry, school terms and gamma noise on transmission; cases are a rounded normal of the removals.
 
-    Variants: 001 and 002 differ in how the latent and infectious rates enter (per year, or
-    per unit through R0); a b variant adds a mean-preserving mixing exponent of one, a d
-    variant accumulates the log weight of its exits, 003 clamps the noise softly.
+    001 has a death rate mu and a mixing exponent alpha; 001b fixes mu at 0.02 and mixes
+    evenly; 002 is 001b with imports exp(iota1 + iota2 * std_log_pop_1950), a covariate that
+    is standardised over the units; the d variants are 001b and 002 that also accumulate the
+    log density of their draws. 003 is 001b with normal flows, softened at zero, whose cases
+    follow the infections.
     """
-    names = ("R0", "sigma", "gamma", "iota", "rho", "sigmaSE", "psi", "cohort", "amplitude", "alpha", "mu", "S_0", "E_0", "I_0", "R_0")
-
-    def school(t) -> bool:
-        day = (t - np.floor(t)) * 365.25
-        return bool(7 <= day <= 100 or 115 <= day <= 199 or 252 <= day <= 300 or 308 <= day <= 356)
+    if variant not in MEASLES:
+        raise ValueError(f"no measles model {variant!r}")
+    weighed, smooth, imports = variant.endswith("d"), variant == "003", variant.startswith("002")
+    names = ("R0", "sigma", "gamma", *(("iota1", "iota2") if imports else ("iota",)), "rho", "sigmaSE", "psi", "cohort", "amplitude", *(("mu", "alpha") if variant == "001" else ()), "S_0", "E_0", "I_0", "R_0")
 
     def rinit(theta, covars, t, n, rng):
         m = covars["pop"] / (theta["S_0"] + theta["E_0"] + theta["I_0"] + theta["R_0"])
-        out = {s: np.broadcast_to(np.round(m * theta[f"{s}_0"]), n).astype(float).copy() for s in "SEI"}
-        return out | {"W": np.zeros(n), "C": np.zeros(n)} | ({"logw": np.zeros(n)} if "d" in variant else {})
+        at = lambda v: v if smooth else np.round(v)
+        out = {s: at(m * theta[f"{s}_0"]) + np.zeros(n) for s in "SEIR"}
+        return out | {"W": np.zeros(n), "C": np.zeros(n)} | ({"logw": np.zeros(n)} if weighed else {})
+
+    def drift(x, theta, covars, t, dt):
+        """(births a year, expected force of infection, death rate) of a step."""
+        year = t - np.floor(t)
+        entry = abs(year - 251.0 / 365.0) < 0.5 * dt
+        births = theta["cohort"] * covars["birthrate"] / dt * entry + (1 - theta["cohort"]) * covars["birthrate"]
+        mu = theta["mu"] if variant == "001" else _DEATHS
+        beta = theta["R0"] * school_season(t, theta["amplitude"]) * (1 - np.exp(-(theta["gamma"] + mu) * dt)) / dt
+        brought = np.exp(theta["iota1"] + theta["iota2"] * covars["std_log_pop_1950"]) if imports else theta["iota"]
+        mixing = theta["alpha"] if variant == "001" else 1.0
+        return births, beta * (x["I"] + brought) ** mixing / covars["pop"], mu
 
     def rproc(x, theta, covars, t, dt, rng):
         n = len(x["S"])
-        day = (t - np.floor(t)) * 365.25
-        entry = abs(day - 251.0) < 0.5 * dt * 365.25
-        births = theta["cohort"] * covars["birthrate"] / dt * entry + (1 - theta["cohort"]) * covars["birthrate"]
-        season = 1 + theta["amplitude"] * 0.2411 / 0.7589 if school(t) else 1 - theta["amplitude"]
-        beta = theta["R0"] * season * (theta["gamma"] + theta["mu"])
-        seen = np.maximum(x["I"] + theta["iota"], 0) ** theta["alpha"]
-        force = beta * seen / covars["pop"]
-        var = np.broadcast_to(np.asarray(theta["sigmaSE"], float) ** 2, n) + 1e-12
-        dw = rng.standard_gamma(dt / var) * var
-        if variant.startswith("003"):
-            dw = dt * (0.1 + np.log1p(np.exp((dw / dt - 0.1) * 20)) / 20)
+        births, force, mu = drift(x, theta, covars, t, dt)
+        var = theta["sigmaSE"] ** 2 + np.zeros(n)
+        dw = rng.standard_gamma(value(dt / var)) * var
         rate = force * dw / dt
-        born = rng.poisson(np.maximum(np.broadcast_to(births * dt, n), 0))
-        s_e, s_d = draw_exits(x["S"], [rate, theta["mu"]], dt, rng)
-        e_i, e_d = draw_exits(x["E"], [theta["sigma"], theta["mu"]], dt, rng)
-        i_r, i_d = draw_exits(x["I"], [theta["gamma"], theta["mu"]], dt, rng)
-        out = {"S": x["S"] + born - s_e - s_d, "E": x["E"] + s_e - e_i - e_d, "I": x["I"] + e_i - i_r - i_d, "W": x["W"] + (dw - dt) / np.sqrt(var), "C": x["C"] + i_r}
-        if "d" in variant:
-            w = exits_logpmf(x["S"], [s_e, s_d], [rate, theta["mu"]], dt) + exits_logpmf(x["E"], [e_i, e_d], [theta["sigma"], theta["mu"]], dt) + exits_logpmf(x["I"], [i_r, i_d], [theta["gamma"], theta["mu"]], dt)
-            out["logw"] = x["logw"] + np.where(np.isfinite(w), w, 0.0)
+        noise = {"W": x["W"] + (dw - dt) / theta["sigmaSE"]}
+        if smooth:
+            z = [rng.standard_normal(n) for _ in range(7)]
+            born = softened(births * dt + np.sqrt(softened(births * dt + np.zeros(n))) * z[0])
+            means = [rate * x["S"] * dt, mu * x["S"] * dt, theta["sigma"] * x["E"] * dt, mu * x["E"] * dt, theta["gamma"] * x["I"] * dt, mu * x["I"] * dt]
+            s_e, s_d, e_i, e_d, i_r, i_d = (m + np.sqrt(softened(m)) * e for m, e in zip(means, z[1:]))
+            out = {"S": softened(x["S"] + born - s_e - s_d), "E": softened(x["E"] + s_e - e_i - e_d), "I": softened(x["I"] + e_i - i_r - i_d)}
+            return out | {"R": softened(covars["pop"] - out["S"] - out["E"] - out["I"]), "C": softened(x["C"] + e_i)} | noise
+        expected = np.broadcast_to(np.maximum(value(births) * dt, 0), n)
+        born = rng.poisson(expected)
+        flows = {"S": [rate, mu], "E": [theta["sigma"], mu], "I": [theta["gamma"], mu]}
+        gone = {k: draw_exits(x[k], [value(r) for r in rates], dt, rng) for k, rates in flows.items()}
+        out = {"S": x["S"] + born - sum(gone["S"]), "E": x["E"] + gone["S"][0] - sum(gone["E"]), "I": x["I"] + gone["E"][0] - sum(gone["I"])}
+        out |= {"R": covars["pop"] - out["S"] - out["E"] - out["I"], "C": x["C"] + gone["I"][0]} | noise
+        if weighed:
+            w = np.where(expected > 0, born * np.log(np.maximum(expected, 1e-300)) - expected - lgamma(born + 1.0), 0.0)
+            for k, rates in flows.items():
+                w = w + exits_logpmf(x[k], gone[k], rates, dt)
+            out["logw"] = x["logw"] + np.where(np.isfinite(value(w)), w, 0.0)
         return out
 
     def moments(x, theta):
-        mean = theta["rho"] * x["C"]
-        return mean, np.sqrt(mean * (1 - theta["rho"] + theta["psi"] ** 2 * mean) + 1e-18)
+        mean = theta["rho"] * (np.maximum(x["C"], 0.0) if weighed or smooth else x["C"])
+        return mean, mean * (1 - theta["rho"] + theta["psi"] ** 2 * mean)
 
     def dmeas(y, x, theta, covars, t):
         if np.isnan(y["cases"]):
             return np.zeros(len(x["C"]))
-        mean, sd = moments(x, theta)
-        low = np.where(y["cases"] > 0, (y["cases"] - 0.5 - mean) / sd, -np.inf)
-        return np.maximum(log_diff_ndtr(low, (y["cases"] + 0.5 - mean) / sd), np.log(1e-18))
+        mean, var = moments(x, theta)
+        sd = np.sqrt(np.maximum(var, 1e-24)) if weighed or smooth else np.sqrt(np.maximum(var, 0.0)) + 1e-18
+        low = (y["cases"] - 0.5 - mean) / sd if y["cases"] > 1e-12 else np.full(len(x["C"]), -np.inf)
+        density = log_diff_ndtr(low, (y["cases"] + 0.5 - mean) / sd)
+        if weighed or smooth:
+            return np.maximum(density, np.log(1e-12))
+        return np.where(value(x["C"]) < 0, -np.inf, np.logaddexp(density, np.log(1e-18)))
 
     def rmeas(x, theta, covars, t, rng):
-        mean, sd = moments(x, theta)
-        return {"cases": np.maximum(np.round(mean + sd * rng.standard_normal(len(mean))), 0)}
+        if smooth:
+            mean = theta["rho"] * softened(x["C"])
+            var = mean * (1 - theta["rho"] + theta["psi"] ** 2 * mean)
+            return {"cases": softened(rng.standard_normal(len(mean)) * (np.sqrt(softened(var)) + 1e-18) + mean)}
+        mean, var = moments(x, theta)
+        drawn = rng.standard_normal(len(mean)) * (np.sqrt(np.maximum(var, 0.0)) + 1e-18) + mean
+        return {"cases": np.where(drawn > 0, np.round(drawn), 0.0)}
 
-    states = ("S", "E", "I", "W", "C") + (("logw",) if "d" in variant else ())
-    logs = ("R0", "sigma", "gamma", "iota", "sigmaSE", "psi", "alpha", "mu")
-    return Model(f"measles_{variant}", states, ("cases",), names, rinit, rproc, dmeas, rmeas, accumulators=("W", "C", *(("logw",) if "d" in variant else ())), covariates=("pop", "birthrate"), transform=Transform(log=logs, logit=("rho", "cohort", "amplitude"), simplex=(("S_0", "E_0", "I_0", "R_0"),)), logw="logw" if "d" in variant else None)
+    logs = ("R0", "sigma", "gamma", *(() if imports else ("iota",)), "sigmaSE", "psi", *(("mu", "alpha") if variant == "001" else ()))
+    extra = ("logw",) if weighed else ()
+    return Model(f"measles_{variant}", ("S", "E", "I", "R", "W", "C", *extra), ("cases",), names, rinit, rproc, dmeas, rmeas, accumulators=("W", "C", *extra), covariates=("pop", "birthrate", *(("std_log_pop_1950",) if imports else ())), transform=Transform(log=logs, logit=("rho", "cohort", "amplitude"), simplex=(("S_0", "E_0", "I_0", "R_0"),)), logw="logw" if weighed else None)
 
 
-def cholera() -> Model:
-    """Susceptibles, infected and three recovered classes with seasonal spread and an environmental reservoir; deaths are observed.
+def school_season(t: float, amplitude):
+    """The factor of transmission: up in school terms, down in holidays, one on average."""
+    day = (t - np.floor(t)) * 365.25
+    term = 7 <= day <= 100 or 115 <= day <= 199 or 252 <= day <= 300 or 308 <= day <= 356
+    return 1 + amplitude * 0.2411 / 0.7589 if term else 1 - amplitude
 
-    A state that falls below zero is counted and floors the density of its line from then on.
+
+def cholera(noise: str = "normal") -> Model:
+    """Susceptibles, infected, inapparent cases and three recovered classes with seasonal spread and an environmental reservoir; deaths are observed.
+
+    The force of infection has the exponent alpha; its noise is normal and added, or gamma
+    and multiplied. A state that falls below zero is counted, set to zero, and floors the
+    density of its line from then on.
     """
-    names = ("gamma", "eps", "deltaI", "delta", "rho", "beta_trend", "sd_beta", "tau", "clin", *[f"b{i}" for i in range(1, 7)], *[f"w{i}" for i in range(1, 7)], "S_0", "I_0", "Y_0", "R1_0", "R2_0", "R3_0")
+    if noise not in ("normal", "gamma"):
+        raise ValueError(f"no cholera noise {noise!r}")
+    parts = ("S", "I", "Y", "R1", "R2", "R3")
+    names = ("gamma", "m", "rho", "epsilon", "c", "beta_trend", "sigma", "tau", "alpha", "delta", *[f"{p}_0" for p in parts], *[f"bs{i}" for i in range(1, 7)], *[f"omegas{i}" for i in range(1, 7)])
 
     def rinit(theta, covars, t, n, rng):
-        parts = ("S", "I", "Y", "R1", "R2", "R3")
         total = sum(theta[f"{p}_0"] for p in parts)
-        return {p: np.broadcast_to(covars["pop"] * theta[f"{p}_0"] / total, n).astype(float).copy() for p in parts} | {"Mn": np.zeros(n), "count": np.zeros(n)}
+        return {p: covars["pop"] * theta[f"{p}_0"] / total + np.zeros(n) for p in parts} | {"Mn": np.zeros(n), "count": np.zeros(n)}
 
     def rproc(x, theta, covars, t, dt, rng):
-        n = len(x["S"])
-        beta = np.exp(theta["beta_trend"] * covars["trend"] + sum(theta[f"b{i}"] * covars[f"seas{i}"] for i in range(1, 7)))
-        omega = np.exp(sum(theta[f"w{i}"] * covars[f"seas{i}"] for i in range(1, 7)))
-        dw = np.sqrt(dt) * rng.standard_normal(n)
-        pop = covars["pop"]
-        infections = (omega + (beta + theta["sd_beta"] * dw / dt) * x["I"] / pop) * x["S"]
-        flows = {"si": theta["clin"] * infections, "sy": (1 - theta["clin"]) * infections, "ir": theta["gamma"] * x["I"], "im": theta["deltaI"] * x["I"], "ys": theta["rho"] * x["Y"]}
-        wane = [3 * theta["eps"] * x[f"R{i}"] for i in (1, 2, 3)]
-        births = covars["dpopdt"] + theta["delta"] * pop
-        step = {
-            "S": births + wane[2] + flows["ys"] - infections - theta["delta"] * x["S"], "I": flows["si"] - flows["ir"] - flows["im"] - theta["delta"] * x["I"],
-            "Y": flows["sy"] - flows["ys"] - theta["delta"] * x["Y"], "R1": flows["ir"] - wane[0] - theta["delta"] * x["R1"],
-            "R2": wane[0] - wane[1] - theta["delta"] * x["R2"], "R3": wane[1] - wane[2] - theta["delta"] * x["R3"], "Mn": flows["im"],
+        n, pop, delta = len(x["S"]), covars["pop"], theta["delta"]
+        seasonal = lambda name: sum(theta[f"{name}{i}"] * covars[f"seas{i}"] for i in range(1, 7))
+        beta, omega = np.exp(theta["beta_trend"] * covars["trend"] + seasonal("bs")), np.exp(seasonal("omegas"))
+        spread = (x["I"] / pop) ** theta["alpha"]
+        if noise == "normal":
+            spread = (beta + theta["sigma"] * rng.standard_normal(n) * np.sqrt(dt) / dt) * spread
+        else:
+            var = theta["sigma"] ** 2 + np.zeros(n)
+            spread = beta * rng.standard_gamma(value(dt / var)) * var / dt * spread
+        infections = (omega + spread) * x["S"]
+        recovered, dying, returned = theta["gamma"] * x["I"], theta["m"] * x["I"], theta["rho"] * x["Y"]
+        waning = [3 * theta["epsilon"] * x[r] for r in ("R1", "R2", "R3")]
+        change = {
+            "S": covars["dpopdt"] + delta * pop - infections - delta * x["S"] + waning[2] + returned,
+            "I": theta["c"] * infections - dying - delta * x["I"] - recovered,
+            "Y": (1 - theta["c"]) * infections - delta * x["Y"] - returned,
+            "R1": recovered - waning[0] - delta * x["R1"], "R2": waning[0] - waning[1] - delta * x["R2"], "R3": waning[1] - waning[2] - delta * x["R3"],
+            "Mn": dying,
         }
-        out = {k: x[k] + v * dt for k, v in step.items()}
-        below = sum((out[k] < 0).astype(float) for k in ("S", "I", "Y", "R1", "R2", "R3"))
-        return out | {"count": x["count"] + below}
+        moved = {k: x[k] + v * dt for k, v in change.items()}
+        below = np.zeros(n, bool)
+        for v in moved.values():
+            below = below | (value(v) < 0)
+        return {k: np.maximum(v, 0.0) for k, v in moved.items()} | {"count": x["count"] + below}
 
     def dmeas(y, x, theta, covars, t):
-        sd = np.maximum(theta["tau"] * np.abs(x["Mn"]), 1e-10)
+        v = theta["tau"] * x["Mn"]
+        sd = v + 1e-18
         density = -0.5 * np.log(2 * np.pi) - np.log(sd) - 0.5 * ((y["deaths"] - x["Mn"]) / sd) ** 2
-        return np.where((x["count"] > 0) | ~np.isfinite(density), np.log(1e-18), density)
+        top = np.maximum(density, np.log(1e-18))
+        floored = top + np.log(np.exp(density - top) + np.exp(np.log(1e-18) - top))
+        return np.where((value(x["count"]) > 0) | ~np.isfinite(value(v)), np.log(1e-18), floored)
 
     def rmeas(x, theta, covars, t, rng):
-        return {"deaths": np.maximum(x["Mn"] + theta["tau"] * np.abs(x["Mn"]) * rng.standard_normal(len(x["Mn"])), 0)}
+        return {"deaths": x["Mn"] + theta["tau"] * x["Mn"] * rng.standard_normal(len(x["Mn"]))}
 
-    logs = ("gamma", "eps", "deltaI", "delta", "rho", "sd_beta", "tau")
-    return Model("cholera", ("S", "I", "Y", "R1", "R2", "R3", "Mn", "count"), ("deaths",), names, rinit, rproc, dmeas, rmeas, accumulators=("Mn",), covariates=("trend", "dpopdt", "pop", *[f"seas{i}" for i in range(1, 7)]), transform=Transform(log=logs, logit=("clin",), simplex=(("S_0", "I_0", "Y_0", "R1_0", "R2_0", "R3_0"),)))
+    logs = ("gamma", "m", "rho", "epsilon", "sigma", "tau", "alpha", "delta")
+    transform = Transform(log=logs, logit=("c",), simplex=(tuple(f"{p}_0" for p in parts),), scaled=(("beta_trend", 100.0),))
+    return Model("cholera", (*parts, "Mn", "count"), ("deaths",), names, rinit, rproc, dmeas, rmeas, accumulators=("Mn",), covariates=("trend", "dpopdt", "pop", *[f"seas{i}" for i in range(1, 7)]), transform=transform)

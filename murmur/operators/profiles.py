@@ -17,17 +17,35 @@ def _tricube(d: np.ndarray, width: float) -> np.ndarray:
     return np.where(d < width, (1 - (d / width) ** 3) ** 3, 0.0) if width > 0 else (d == 0).astype(float)
 
 
-def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.75, degree: int = 2) -> np.ndarray:
-    """Local polynomial regression with tricube weights; a constant x gives the mean."""
+def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.75, degree: int = 2, robust: int = 10) -> np.ndarray:
+    """Local polynomial regression with tricube weights; a constant x gives the mean.
+
+    ``robust`` rounds at most weigh the points of a neighbourhood down by the biweight of
+    their residuals over six median ones, until the same points are cast out; a fit without
+    residuals is left as it is.
+    """
     if np.ptp(x) == 0:
         return np.full(len(at), y.mean())
     k = min(len(x), max(int(np.ceil(span * len(x))), degree + 1))
     out = np.empty(len(at))
     for i, a in enumerate(at):
         d = np.abs(x - a)
-        w = _tricube(d, np.sort(d)[k - 1] * (1 + 1e-9) + 1e-300)
-        design = np.vander(x - a, degree + 1, increasing=True) * np.sqrt(w)[:, None]
-        out[i] = np.linalg.lstsq(design, y * np.sqrt(w), rcond=None)[0][0]
+        near = np.argsort(d, kind="stable")[:k]
+        w, design = _tricube(d[near], d[near[-1]] * (1 + 1e-9) + 1e-300), np.vander(x[near] - a, degree + 1, increasing=True)
+        solve = lambda weights: np.linalg.lstsq(design * np.sqrt(weights)[:, None], y[near] * np.sqrt(weights), rcond=None)[0]  # noqa: E731, B023
+        fit, cast_out = solve(w), None
+        for _ in range(robust):
+            residual = np.abs(y[near] - design @ fit)
+            if (scale := 6 * np.median(residual)) <= 1e-12 * (1 + np.abs(y).max()):
+                break
+            biweight = (1 - np.minimum((residual / scale) ** 2, 1)) ** 2
+            if np.count_nonzero(w * biweight) <= degree:
+                break
+            before, cast_out = cast_out, biweight < 0.34
+            fit = solve(w * biweight)
+            if before is not None and np.array_equal(before, cast_out):
+                break
+        out[i] = fit[0]
     return out
 
 

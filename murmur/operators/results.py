@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import platform
+import time
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 import pyspark
@@ -79,6 +82,151 @@ def panel_traces(shared: DataFrame, unit: DataFrame) -> DataFrame:
     return shared.select("theta_idx", F.lit("shared").alias("unit"), "iteration", "loglik").unionByName(unit.select("theta_idx", "unit", "iteration", "loglik"))
 
 
+#: Columns that come first in every table of traces.
+_TRACE = ["theta_idx", "unit", "iteration", "method", "loglik", "se"]
+
+
+def _ordered(df: DataFrame) -> DataFrame:
+    first = [c for c in _TRACE if c in df.columns]
+    return df.select(*first, *[c for c in df.columns if c not in first])
+
+
+def _parameters(theta: DataFrame, names: list[str]) -> DataFrame:
+    return theta.select("theta_idx", *[F.col("params")[n].alias(n) for n in names])
+
+
+def filter_view(logliks: DataFrame, theta: DataFrame, names: list[str]) -> DataFrame:
+    """(theta_idx, loglik, se, parameters...) of a filter's run."""
+    return filter_results(logliks).join(_parameters(theta, names), "theta_idx", "left")
+
+
+def filter_traces(logliks: DataFrame, theta: DataFrame, names: list[str], method: str = "pfilter") -> DataFrame:
+    """The same as a trace of one iteration, number 0."""
+    return _ordered(filter_view(logliks, theta, names).withColumns({"iteration": F.lit(0), "method": F.lit(method)}))
+
+
+def panel_parameters(rows: DataFrame, shared: DataFrame, unit: DataFrame) -> DataFrame:
+    """Rows (theta_idx, unit, ...) with a column a shared parameter and, but for unit 'shared', one a unit's own.
+
+    shared: (theta_idx, parameter, value); unit: (theta_idx, unit, parameter, value). The
+    names are the few of a model.
+    """
+    listed = lambda df: sorted(r.parameter for r in df.select("parameter").distinct().collect())
+    wide = shared.groupBy("theta_idx").pivot("parameter", listed(shared)).agg(F.first("value"))
+    own = unit.groupBy("theta_idx", "unit").pivot("parameter", listed(unit)).agg(F.first("value"))
+    return rows.join(wide, "theta_idx", "left").join(own, ["theta_idx", "unit"], "left")
+
+
+def panel_filter_view(logliks: DataFrame, shared: DataFrame, unit: DataFrame) -> DataFrame:
+    """A row a set and unit: the panel's and the unit's loglik with their errors, then all parameters."""
+    return panel_parameters(panel_results(logliks), shared, unit)
+
+
+def panel_filter_traces(logliks: DataFrame, shared: DataFrame, unit: DataFrame, method: str = "pfilter") -> DataFrame:
+    """The panel's filter as a trace: a row named shared and one a unit, all of iteration 0."""
+    both = panel_results(logliks)
+    whole = both.groupBy("theta_idx").agg(F.first("shared_loglik").alias("loglik"), F.first("shared_se").alias("se")).withColumn("unit", F.lit("shared"))
+    rows = whole.unionByName(both.select("theta_idx", "unit", F.col("unit_loglik").alias("loglik"), F.col("unit_se").alias("se")))
+    return _ordered(panel_parameters(rows, shared, unit).withColumns({"iteration": F.lit(0), "method": F.lit(method)}))
+
+
+def estimate_view(traces: DataFrame) -> DataFrame:
+    """(theta_idx, loglik, se, parameters...) at the last iteration of a run of estimation; it has no error (null)."""
+    last = last_iteration(traces).drop("iteration", "series_id", "rep")
+    rest = [c for c in last.columns if c not in ("theta_idx", "loglik")]
+    return last.select("theta_idx", "loglik", F.lit(None).cast("double").alias("se"), *rest)
+
+
+def estimate_traces(traces: DataFrame, method: str) -> DataFrame:
+    """(theta_idx, iteration, method, loglik, se, parameters...) of a run of estimation."""
+    return _ordered(traces.drop("series_id", "rep").withColumns({"method": F.lit(method), "se": F.lit(None).cast("double")}))
+
+
+def _spread(traces: DataFrame, shared_names: list[str]) -> DataFrame:
+    """Units' rows with the shared parameters of their iteration, and the shared rows."""
+    shared = traces.where("unit = 'shared'")
+    values = shared.select("theta_idx", "iteration", *shared_names)
+    units = traces.where("unit <> 'shared'").drop(*shared_names).join(values, ["theta_idx", "iteration"], "left")
+    return shared.unionByName(units)
+
+
+def panel_estimate_view(traces: DataFrame, shared_names: list[str]) -> DataFrame:
+    """A row a set and unit at the last iteration: the panel's and the unit's loglik, no errors, all parameters.
+
+    traces: (theta_idx, iteration, unit or 'shared', loglik, parameters...).
+    """
+    last = traces.join(traces.groupBy("theta_idx").agg(F.max("iteration").alias("iteration")), ["theta_idx", "iteration"], "left_semi")
+    total = last.where("unit = 'shared'").select("theta_idx", F.col("loglik").alias("shared_loglik"))
+    none = F.lit(None).cast("double")
+    rows = _spread(last, shared_names).where("unit <> 'shared'").join(total, "theta_idx").withColumns({"shared_se": none, "unit_se": none}).withColumnRenamed("loglik", "unit_loglik")
+    first = ["theta_idx", "iteration", "shared_loglik", "shared_se", "unit", "unit_loglik", "unit_se"]
+    return rows.select(*first, *[c for c in rows.columns if c not in first])
+
+
+def panel_estimate_traces(traces: DataFrame, shared_names: list[str], method: str) -> DataFrame:
+    """The whole traces of a panel's estimation; units' rows carry the shared parameters too."""
+    return _ordered(_spread(traces, shared_names).withColumns({"method": F.lit(method), "se": F.lit(None).cast("double")}))
+
+
+def chain_view(traces: DataFrame, *, ignore_nan: bool = False) -> DataFrame:
+    """(theta_idx, rep, iteration, loglik or distance, log_prior, accepted, parameters...) of Markov chains; ignore_nan drops rows with a value that is none."""
+    out = traces.drop("series_id")
+    numbers = [c for c, kind in out.dtypes if kind == "double"]
+    return out.where(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in numbers])) if ignore_nan else out
+
+
+def chain_traces(traces: DataFrame, method: str) -> DataFrame:
+    """The chains with method, loglik (null where the method has a distance instead) and se (null)."""
+    none = F.lit(None).cast("double")
+    out = chain_view(traces).withColumns({"method": F.lit(method), "se": none})
+    return _ordered(out if "loglik" in out.columns else out.withColumn("loglik", none))
+
+
+def summary(results: DataFrame, runs: DataFrame, n: int = 5) -> str:
+    """What a console shows of a history: its runs, and the best ``n`` sets."""
+    lines = [f"{r.run_id}: {r.method} ({r.kind}), {r.seconds:.1f} s" for r in runs.orderBy("run_id").collect()]
+    best = top(results, n).toPandas()
+    return "\n".join(["Runs", *lines, "", f"Best {min(n, len(best))} sets by log likelihood", best.to_string(index=False)])
+
+
+class History:
+    """Runs of one series or panel on disk: a row a run, and the run's payload as a table.
+
+    ``add`` writes both; ``payload`` reads a run's table back; ``best`` puts the log
+    likelihoods of a filter's run back on the parameter sets, for ``theta.prune`` to rank.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def add(self, method: str, kind: str, payload: Callable[[], DataFrame], *, panel: bool = False, seed: int = 0, config: dict | None = None) -> int:
+        """Runs ``payload``, writes its rows and the run's row, and returns the run's number."""
+        number = self.count()
+        began = time.time()
+        payload().write.mode("overwrite").parquet(f"{self.path}/payload/{number}")
+        row = run_row(self.spark, number, method, kind, panel=panel, seconds=time.time() - began, seed=seed, config=config)
+        row.write.mode("overwrite").parquet(f"{self.path}/runs/run={number}")
+        return number
+
+    def count(self) -> int:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs")
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return len(files.listStatus(at)) if files.exists(at) else 0
+
+    def runs(self) -> DataFrame:
+        return self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.path}/runs")
+
+    def payload(self, number: int = -1) -> DataFrame:
+        """A run's table; of the last run by default."""
+        return self.spark.read.parquet(f"{self.path}/payload/{number if number >= 0 else self.count() + number}")
+
+    def best(self, theta: DataFrame, number: int = -1) -> DataFrame:
+        """The parameter sets with the loglik that a filter's run found for them."""
+        steps = self.payload(number)
+        found = filter_results(steps.groupBy("theta_idx", "rep").agg(F.sum("cll").alias("loglik")))
+        return theta.drop("loglik").join(found.select("theta_idx", "loglik"), "theta_idx", "left").select("theta_idx", "loglik", "params")
+
+
 def trace_plot(traces: DataFrame, names: list[str]) -> DataFrame:
     """(theta_idx, iteration, variable, value): what a facet plot of traces shows."""
     return traces.unpivot(["theta_idx", "iteration"], ["loglik", *names], "variable", "value")

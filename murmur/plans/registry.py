@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.plans import particle_queries, sql_queries
+from murmur.plans import particle_queries, replay_queries, sql_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**sql_queries.QUERIES, **particle_queries.QUERIES}
-ORACLES: dict[str, str] = dict(sql_queries.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**sql_queries.QUERIES, **particle_queries.QUERIES, **replay_queries.QUERIES}
+ORACLES: dict[str, str] = {**sql_queries.ORACLES, **replay_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -430,5 +430,5 @@ def local_quadratic(spark, sf):
 @query("SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, seg LIMIT 3")
 def top_results(spark, sf):
     counts = series.read_table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "seg").limit(3)
+    return results.top(counts.withColumn("loglik", F.col("n") - F.ascii("seg") / 1000), 3).drop("loglik")
 

@@ -132,14 +132,147 @@ def test_benchmarks_are_near_simple_likelihoods():
     assert arma_loglik(y, 1, 0, 1) >= normal - 0.1
 
 
-@pytest.mark.parametrize("variant", ["001", "001b", "001d", "002", "002d", "003"])
+MEASLES = dict(R0=50.0, sigma=28.0, gamma=30.0, iota=1.0, iota1=0.5, iota2=0.3, rho=0.5, sigmaSE=0.05, psi=0.1, cohort=0.1, amplitude=0.2, alpha=0.9, mu=0.05, S_0=0.05, E_0=0.0005, I_0=0.0005, R_0=0.95)
+
+
+@pytest.mark.parametrize("variant", models.MEASLES)
 def test_measles_variants_filter_and_skip_missing_cases(variant):
     model = models.measles(variant)
-    theta = dict(R0=50.0, sigma=28.0, gamma=30.0, iota=1.0, rho=0.5, sigmaSE=0.05, psi=0.1, cohort=0.1, amplitude=0.2, alpha=1.0, mu=0.02, S_0=0.05, E_0=0.0005, I_0=0.0005, R_0=0.95)
+    theta = {k: MEASLES[k] for k in model.parameters}
     model.tried(theta)
-    s = K.Series(1950.0, 1950 + np.arange(1, 4) / 26, np.full(3, 14), np.full(3, 1 / 365.25), {"cases": np.array([30.0, np.nan, 20.0])}, {"pop": np.full(43, 1e5), "birthrate": np.full(43, 2000.0)})
+    covars = {"pop": np.full(43, 1e5), "birthrate": np.full(43, 2000.0), "std_log_pop_1950": np.full(43, 0.4)}
+    s = K.Series(1950.0, 1950 + np.arange(1, 4) / 26, np.full(3, 14), np.full(3, 1 / 365.25), {"cases": np.array([30.0, np.nan, 20.0])}, {c: covars[c] for c in model.covariates})
     out = K.pfilter(model, theta, s, 100, np.random.default_rng(0))
     assert np.isfinite(out["loglik"]) and out["cll"][1] == pytest.approx(0)
+    _, seen = K.simulate(model, theta, s, 5, np.random.default_rng(1))
+    assert all((o["cases"] >= 0).all() for o in seen)
+    assert all(float(v) == pytest.approx(theta[k]) for k, v in model.transform.from_est(model.transform.to_est(theta)).items() if not k.endswith("_0"))
+
+
+def test_measles_variants_differ_where_they_should():
+    from murmur.functions.rng import Expected
+
+    x = {k: np.array([v]) for k, v in dict(S=4000.0, E=50.0, I=40.0, R=0.0, W=0.0, C=3.0, logw=0.0).items()}
+    covars = {"pop": 1e5, "birthrate": 2000.0, "std_log_pop_1950": 0.4}
+    after = {v: models.measles(v).rproc(x, MEASLES, covars, 1950.3, 1 / 365.25, Expected()) for v in models.MEASLES}
+    exposed = {v: float(after[v]["E"][0]) for v in after}
+    assert exposed["001b"] == pytest.approx(exposed["001d"]) and exposed["002"] == pytest.approx(exposed["002d"])
+    assert len({round(exposed[v], 6) for v in ("001", "001b", "002", "003")}) == 4
+    assert float(after["003"]["C"][0]) > float(after["001b"]["C"][0]) + 0.1  # 003 counts infections, the others removals
+    assert set(after["001d"]) - set(after["001b"]) == {"logw"} and float(after["001d"]["logw"][0]) < 0
+    with pytest.raises(ValueError):
+        models.measles("004")
+
+
+def test_log_weights_are_the_draws_own_density():
+    model = models.measles("001d")
+    x = {k: np.array([float(v)]) for k, v in dict(S=30, E=5, I=4, R=0, W=0, C=0, logw=0).items()}
+    covars = {"pop": 1e3, "birthrate": 20.0}
+
+    class Fixed:
+        """A gamma of mean noise, three births, then two, one and no exits of each state by either rate."""
+
+        def __init__(self):
+            self.exits = iter([2.0, 1.0, 1.0, 0.0, 0.0, 1.0])
+
+        def standard_gamma(self, shape):
+            return np.asarray(shape, float)
+
+        def poisson(self, lam):
+            return np.full(np.shape(lam), 3)
+
+        def binomial(self, n, p):
+            return np.full(np.shape(n), int(next(self.exits)))
+
+    dt = 1 / 52
+    out = model.rproc(x, MEASLES, covars, 1950.33, dt, Fixed())
+    mu, season = 0.02, 1 + MEASLES["amplitude"] * 0.2411 / 0.7589
+    force = MEASLES["R0"] * season * (1 - math.exp(-(30.0 + mu) * dt)) / dt * (4 + MEASLES["iota"]) / 1e3
+    lam = 0.9 * 20 * dt
+    total = 3 * math.log(lam) - lam - math.lgamma(4)
+    for n, (a, b), rate in ((30, (2, 1), force), (5, (1, 0), 28.0), (4, (0, 1), 30.0)):
+        gone = 1 - math.exp(-(rate + mu) * dt)
+        p = [gone * rate / (rate + mu), gone * mu / (rate + mu), 1 - gone]
+        total += math.lgamma(n + 1) + sum(k * math.log(q) - math.lgamma(k + 1) for k, q in zip((a, b, n - a - b), p))
+    assert float(out["logw"][0]) == pytest.approx(total, rel=1e-9)
+
+
+def test_cholera_clips_counts_and_floors():
+    from murmur.functions.rng import Expected
+
+    theta = dict(gamma=20.8, m=0.06, rho=0.0, epsilon=19.1, c=1.0, beta_trend=-0.00498, sigma=3.13, tau=0.23, alpha=0.5, delta=0.02, S_0=0.6, I_0=0.4, Y_0=0.0, R1_0=0.0, R2_0=0.0, R3_0=0.0) | {f"bs{i}": 0.1 for i in range(1, 7)} | {f"omegas{i}": -3.0 for i in range(1, 7)}
+    covars = {"trend": 0.1, "dpopdt": 0.0, "pop": 100.0} | {f"seas{i}": 1 / 6 for i in range(1, 7)}
+    x = {k: np.array([v, v]) for k, v in dict(S=60.0, I=20.0, Y=0.0, R1=1.0, R2=1.0, R3=1.0, Mn=0.5, count=0.0).items()}
+    for noise in ("normal", "gamma"):
+        model = models.cholera(noise)
+        out = model.rproc(x, theta, covars, 0.0, 1 / 240, Expected())
+        force = math.exp(-3.0) + math.exp(-0.00498 * 0.1 + 0.1) * (20 / 100) ** 0.5  # the exponent counts
+        assert out["S"][0] == pytest.approx(60 + (0.02 * 100 - force * 60 - 0.02 * 60 + 3 * 19.1) / 240)
+        gone = model.rproc(x | {"S": np.array([0.0, 60.0]), "R3": np.zeros(2), "Mn": np.array([0.5, -9.0])}, theta, covars | {"dpopdt": -500.0}, 0.0, 1 / 240, Expected())
+        assert gone["S"][0] == 0 and gone["count"].tolist() == [1.0, 1.0] and gone["Mn"][1] == 0  # also negative deaths are counted
+        density = model.dmeas({"deaths": 0.6}, gone | {"count": np.array([0.0, 1.0])}, theta, covars, 0.0)
+        assert density[1] == pytest.approx(math.log(1e-18)) and density[0] > -10
+    with pytest.raises(ValueError):
+        models.cholera("pink")
+
+
+def test_profile_interval_of_the_published_example():
+    x = np.linspace(0.1, 0.5, 10)
+    y = -0.5 * (x - 0.3) ** 2 + np.array([0.01, -0.02, 0.03, -0.01, 0.02, -0.03, 0.01, -0.02, 0.03, -0.01])
+    out = mcap(x, y)
+    assert abs(out["mle"] - 0.23293293) < 0.05 and abs(out["quadratic_max"] - 0.23196971) < 0.05 and out["lo"] == pytest.approx(0.1, abs=1e-5) and out["hi"] == pytest.approx(0.5, abs=1e-5)
+    assert abs(out["delta"] - 1.93755414) < 0.1 and abs(out["se_stat"] - 0.35499986) < 0.1 and abs(out["se_mc"] - 0.03322532) < 0.05 and abs(out["se_total"] - 0.35655129) < 0.1
+
+
+def test_loess_casts_outliers_out():
+    x = np.linspace(0, 1, 40)
+    y = 2 * x + 0.01 * np.sin(50 * x)
+    y[20] += 30
+    at = np.array([x[20]])
+    assert abs(loess(x, y, at)[0] - 2 * x[20]) < 0.05 < abs(loess(x, y, at, robust=0)[0] - 2 * x[20])
+
+
+def test_curvature_pairs_are_of_the_steps_taken():
+    a = np.array([[3.0, 0.5], [0.5, 1.0]])
+    opt, x = optimizers.BFGS(), np.array([1.0, -2.0])
+    for i in range(60):
+        x = opt.step(x, a @ x, None, i, np.array([0.5, 0.5]))
+    assert np.allclose(x, 0, atol=1e-6) and np.allclose(opt.state["inverse"], np.linalg.inv(a), atol=0.05)
+
+
+def test_monitors_filter_the_rows_of_training(lg):
+    model, s = lg
+    names = ["A11"]
+    rows = K.train(model, TRUE, {"s": s}, 50, 2, optimizers.learning_rates({"A11": 0.01}, names, 2), names, np.random.default_rng(0), monitors=4)
+    assert len(rows) == 3 and all(abs(r["loglik"] - exact(s, r["A11"], 0.5, 0.3)) < 8 for r in rows)
+
+
+def test_panel_training_by_process_density():
+    model = models.sir()
+    theta = dict(gamma=26.0, mu=0.02, iota=0.01, beta1=400.0, beta2=480.0, beta3=320.0, beta_sd=0.01, pop=1e5, rho=0.1, k=0.1, S_0=0.065, I_0=0.001, R_0=0.934)
+    s = K.Series(0.0, np.arange(1, 4) / 52, np.full(3, 5), np.full(3, 1 / 260), {"reports": np.array([5.0, 6.0, 9.0])}, {f"seas_{i}": np.full(16, 1 / 3) for i in (1, 2, 3)})
+    names = ["rho", "k"]
+    own = {"a": {"rho": 0.1}, "b": {"rho": 0.2}}
+    rows = K.train(model, theta, {"a": s, "b": s}, 40, 2, optimizers.learning_rates({n: 0.05 for n in names}, names, 2), names, np.random.default_rng(0), dpop=True, specific=("rho",), units=own)
+    last = {r["unit"]: r for r in rows[-2:]}
+    assert len(rows) == 6 and last["a"]["rho"] != last["b"]["rho"] and last["a"]["k"] == last["b"]["k"] != 0.1 and np.isfinite(last["a"]["loglik"])
+
+
+def test_full_and_adaptive_walks():
+    g, zero = np.random.default_rng(3), {"a": 0.0, "b": 0.0, "c": 7.0}
+    walk = proposals.FullWalk(names=("a", "b"), covariance=np.array([[1.0, 0.8], [0.8, 1.0]]))
+    drawn = [walk.propose(zero, g) for _ in range(4000)]
+    assert abs(np.corrcoef([[p["a"], p["b"]] for p in drawn], rowvar=False)[0, 1] - 0.8) < 0.05 and all(p["c"] == 7.0 for p in drawn)
+    target = np.array([[1.0, 0.9], [0.9, 1.0]])  # a chain on a normal density: past its warm-up, its steps follow the density's shape
+    density = lambda p: -0.5 * np.array([p["a"], p["b"]]) @ np.linalg.solve(target, np.array([p["a"], p["b"]]))
+    walk, at, took = proposals.AdaptiveWalk({"a": 1.0, "b": 1.0}), {"a": 0.0, "b": 0.0}, 0
+    for i in range(6000):
+        trial = walk.propose(at, g)
+        yes = np.log(g.random()) < density(trial) - density(at)
+        at, took = (trial, took + 1) if yes else (at, took)
+        walk.learn(at, bool(yes), i)
+    steps = np.array([[(t := walk.propose(at, g))["a"] - at["a"], t["b"] - at["b"]] for _ in range(3000)])
+    assert abs(np.corrcoef(steps, rowvar=False)[0, 1] - 0.9) < 0.1 and 0.1 < took / 6000 < 0.6
 
 
 def test_models_report_mistakes_on_the_driver():

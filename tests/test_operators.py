@@ -113,6 +113,53 @@ def test_estimation_operators_return_traces(spark, packed):
     assert inference.check_panel(data.unionByName(data.withColumn("series_id", F.lit("t")))).count() == 0
 
 
+def test_hashed_draws_are_uniform_and_repeat():
+    first, second = rng.Hashed(1, "s", 0, 0), rng.Hashed(1, "s", 0, 0)
+    u = first.random(50_000)
+    assert (u == second.random(50_000)).all() and (u != first.random(50_000)).any() and (u > 0).all() and (u < 1).all()
+    assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u[:-1], u[1:])[0, 1]) < 0.02 and abs(np.std(first.standard_normal(50_000)) - 1) < 0.02
+    assert abs(first.poisson(np.full(3000, 4.0)).mean() - 4) < 0.2 and abs(first.binomial(np.full(3000, 10), np.full(3000, 0.3)).mean() - 3) < 0.2 and abs(first.standard_gamma(np.full(3000, 2.0)).mean() - 2) < 0.15
+
+
+def test_a_history_keeps_runs_and_ranks_parameters(spark, packed, tmp_path):
+    data, model, _ = packed
+    history = results.History(spark, f"file://{tmp_path}/history")
+    sets = theta.from_dicts(spark, [START | {"A11": 0.1, "Q11": 2.0}, START])
+    assert history.add("pfilter", "table", lambda: inference.pfilter(data, model, sets, particles=200, reps=3), seed=1, config={"J": 200}) == 0
+    ranked = history.best(sets)
+    assert [r.loglik is not None for r in ranked.collect()] == [True, True] and theta.prune(ranked, 1).first().params["A11"] == START["A11"]
+    assert history.add("mif", "trace", lambda: inference.mif(data, model, sets, particles=50, iterations=2, perturbation=Perturbation({"A11": 0.02}))) == 1
+    view = results.estimate_view(history.payload()).orderBy("theta_idx").collect()
+    assert len(view) == 2 and view[0].se is None and view[0].C11 == 1.0
+    traces = results.estimate_traces(history.payload(), "mif")
+    assert traces.columns[:5] == ["theta_idx", "iteration", "method", "loglik", "se"] and traces.count() == 6
+    told = results.summary(results.filter_results(inference.logliks(history.payload(0))), history.runs())
+    assert "0: pfilter (table)" in told and "1: mif (trace)" in told and "Best 2 sets" in told
+    assert [r.method for r in results.run_times(history.runs()).orderBy("history_index").collect()] == ["pfilter", "mif"]
+
+
+def test_chains_without_a_number_go(spark):
+    df = spark.createDataFrame([("s", 0, 0, 0, float("nan"), 1.0), ("s", 0, 0, 1, 2.0, 1.0)], "series_id string, theta_idx int, rep int, iteration int, loglik double, a double")
+    assert results.chain_view(df, ignore_nan=True).count() == 1 and results.chain_traces(df, "pmcmc").columns[:4] == ["theta_idx", "iteration", "method", "loglik"]
+
+
+def test_simulated_chunks_are_whole(spark, packed):
+    data, model, _ = packed
+    states, observed = inference.simulate(data, model, theta.from_dicts(spark, [START]), sims=250, chunk=100)
+    assert observed.select("sim").distinct().count() == 250 and states.where("time = 0").count() == 250
+    spread = observed.groupBy("time").agg(F.stddev_samp("Y1").alias("s")).agg(F.min("s")).first()[0]
+    assert spread > 0.2
+
+
+def test_many_points_meet_their_sets_without_a_broadcast(spark, packed, monkeypatch):
+    data, model, _ = packed
+    sets = theta.from_dicts(spark, [START])
+    run = lambda: {r.rep: r.loglik for r in inference.logliks(inference.pfilter(data, model, sets, particles=50, reps=3)).collect()}
+    small = run()
+    monkeypatch.setattr(inference, "BROADCAST_POINTS", 0)
+    assert run() == small
+
+
 def test_runs_merge(spark):
     a, b = (results.run_row(spark, 1, "pfilter", "table", seconds=s, config={"J": 10}) for s in (1.0, 3.0))
     merged = results.merged_runs(a, b).first()
