@@ -38,7 +38,7 @@ from murmur.llm.common import only, remember
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bytes of each memo table of one Python worker, by an estimate from above; a full table is emptied. Longer chunks aren't remembered.
-MEMO_BYTES, MEMO_CHUNK = 64_000_000, 48
+MEMO_BYTES, MEMO_CHUNK = 128_000_000, 400
 #: Positions of a chunk whose matches are held at once.
 BLOCK = 4096
 _REPLACEMENT = "�"
@@ -133,11 +133,11 @@ class _Memo(dict):
 
 def _pair_size(pair: tuple[str, str], fits: bool) -> int:
     """Bytes of a remembered pair: its tuple, two strings of up to four bytes a character, its place in the table."""
-    return 360 + 4 * (len(pair[0]) + len(pair[1]))
+    return 280 + 4 * (len(pair[0]) + len(pair[1]))
 
 
 def _chunk_size(chunk: str, both: tuple[bytes, str]) -> int:
-    return 420 + 4 * len(chunk) + len(both[0]) + 4 * len(both[1])
+    return 330 + 4 * len(chunk) + len(both[0]) + 4 * len(both[1])
 
 
 class Codec:
@@ -201,19 +201,23 @@ class Codec:
         """The pieces that start at each place of the block from ``begin``, by rising length."""
         size = min(BLOCK, len(chunk) - begin)
         out: list[list[str]] = [[] for _ in range(size)]
-        for end, piece in self.automaton.iter(chunk, begin, min(begin + size + self.longest, len(chunk))):
-            if (at := end + 1 - len(piece) - begin) < size:
-                out[at].append(piece)  # by rising end, so by rising length
+        if size == len(chunk):
+            for end, piece in self.automaton.iter(chunk):
+                out[end + 1 - len(piece)].append(piece)  # by rising end, so by rising length
+        else:
+            for end, piece in self.automaton.iter(chunk, begin, min(begin + size + self.longest, len(chunk))):
+                if (at := end + 1 - len(piece) - begin) < size:
+                    out[at].append(piece)
         for i, found in enumerate(out):
             if not found or len(found[0]) > 1:
                 found.insert(0, chunk[begin + i])  # a character that isn't a piece is a symbol too
         return out
 
-    def _backtrack(self, chunk: str) -> list[int]:
+    def _blocks(self, chunk: str):
+        """A function that gives the pieces that start at a place; those of the block around it are found together, and three blocks are held."""
         held: dict[int, list[list[str]]] = {}
 
         def starts(at: int) -> list[str]:
-            """The pieces that start at a place, by length; those of the block around it are found together."""
             block = at // BLOCK
             if block not in held:
                 if len(held) > 2:
@@ -221,6 +225,10 @@ class Codec:
                 held[block] = self._matches(chunk, block * BLOCK)
             return held[block][at % BLOCK]
 
+        return starts
+
+    def _backtrack(self, chunk: str) -> list[int]:
+        starts = self._matches(chunk, 0).__getitem__ if len(chunk) <= BLOCK else self._blocks(chunk)
         failed = bytearray((len(chunk) >> 3) + 1)
         path: list[tuple[str, int]] = []
         at, choice = 0, len(starts(0)) - 1 if chunk else 0
