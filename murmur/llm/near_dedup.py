@@ -52,6 +52,8 @@ BLOCK = 128
 COMMON_SHINGLES = 1_000_000
 #: The meetings of a shingle's holders with their head are dealt to so many tasks.
 SALTS = 16
+#: Shingles that a task counts together (24 bytes each) before they move.
+COUNTED = 500_000
 _MEMO_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,17 +166,32 @@ class _Classes:
         return self.texts(wanted).mapInArrow(run, "cid bigint, shingles binary")
 
     def single(self, wanted: DataFrame) -> DataFrame:
-        """(cid, shingle): a row for each shingle of the wanted classes."""
+        """(shingle, lo, hi, c): the shingles of the wanted classes, with the least and largest class and their number, counted in each task first."""
         settings = self.settings
 
+        def counted(ids: list[int], sets: list[np.ndarray]):
+            shingles, owners = np.concatenate(sets), np.repeat(np.array(ids, np.int64), [len(s) for s in sets])
+            order = np.lexsort((owners, shingles))
+            shingles, owners = shingles[order], owners[order]
+            first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+            last = np.append(first[1:], len(shingles)) - 1
+            return pa.record_batch([pa.array(shingles[first]), pa.array(owners[first]), pa.array(owners[last]), pa.array(last - first + 1)], names=["shingle", "lo", "hi", "c"])
+
         def run(batches):
             own = _sketcher(*settings)
+            ids, sets, held = [], [], 0
             for batch in batches:
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    s = own.shingles(t).view(np.int64)
-                    yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array(s)], names=["cid", "shingle"])
+                    ids.append(d)
+                    sets.append(own.shingles(t).view(np.int64))
+                    held += len(sets[-1])
+                    if held > COUNTED:
+                        yield counted(ids, sets)
+                        ids, sets, held = [], [], 0
+            if held:
+                yield counted(ids, sets)
 
-        return self.texts(wanted).mapInArrow(run, "cid bigint, shingle bigint")
+        return self.texts(wanted).mapInArrow(run, "shingle bigint, lo bigint, hi bigint, c bigint")
 
     def rarest(self, wanted: DataFrame, common: np.ndarray) -> DataFrame:
         """(cid, shingle): the shingles of each wanted class one of which a linked one must have, ``common`` ones last."""
@@ -225,13 +242,13 @@ def _block_links(own: _Classes, members: DataFrame, tables: Tables) -> DataFrame
     rarest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1  # a link has one of so many of the rarest in common
     ids = members.select("cid", "n")
     # A set with as many shingles that no other has is linked with none. Their only holder is known without a join.
-    lone = own.single(ids).groupBy("shingle").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).where("cid = last")
+    lone = own.single(ids).groupBy("shingle").agg(F.min("lo").alias("cid"), F.max("hi").alias("last")).where("cid = last")
     alone = lone.groupBy("cid").agg(F.count("*").alias("own"))
     left = tables.write(ids.join(alone, "cid", "left").where(F.coalesce("own", F.lit(0)) < rarest).select("cid"), "left")
     members = members.join(left, "cid", "left_semi")
     sets = own.sets(left)
     # Common shingles come last, by how many sets have them; the others in the order of their hashes. Any one order is exact.
-    df = own.single(left).groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK)
+    df = own.single(left).groupBy("shingle").agg(F.sum("c").alias("df")).where(F.col("df") > BLOCK)
     common = df.orderBy(F.desc("df"), "shingle").limit(COMMON_SHINGLES).select("shingle").toArrow()["shingle"].to_numpy()[::-1].astype(np.int64)
     prefix = own.rarest(left, common)
     prefix = tables.write(prefix.join(members.select("cid", "comp"), "cid"), "prefixes")
