@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import BROADCAST_IDS, Tables, arrow_batches, only, remember, without
-from murmur.llm.graph import components
+from murmur.llm.graph import components, labelled
 
 BLOCK = 128
 #: So many of the most common shingles are told to every task (8 bytes each); with more, the least common of them count as rare.
@@ -359,15 +359,9 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
     links = links.unionByName(tables.write(own.verified(best), "links-1"))
     comps = components(links, tables, "components-1")
 
-    def labelled(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-        return pairs
-
     apart = labelled(named.select("a", "b"), comps).where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
     more = tables.write(own.verified(tables.write(apart, "apart")), "links-2")
-    links = links.unionByName(more)
-    comps = components(links, tables, "components-2")
+    comps = components(more, tables, "components-2", comps)
 
     # 2: all tables; only where components meet.
     located = hot.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -385,10 +379,10 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
     large = tables.write(large, "large")
     pairs = pairs.where(F.col("c") >= least_tables).select("a", "b")
     candidates = tables.write(pairs.join(named.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    links = links.unionByName(tables.write(own.verified(candidates), "links-3"))
+    links = tables.write(own.verified(candidates), "links-3")
     if not large.isEmpty():
         links = links.unionByName(tables.write(_block_links(own, large, tables), "links-4"))
-    comps = components(links, tables, "components-3")
+    comps = components(links, tables, "components-3", comps)
     # Classes are numbered in no order of ids: a component is named by its smallest document.
     sized = comps.join(classes.select(F.col("cid").alias("node"), "d"), "node")
     names = sized.groupBy("comp").agg(F.min("d").alias("low"))

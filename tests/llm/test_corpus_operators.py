@@ -115,6 +115,25 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert all(out[i] == 0 for i in range(301)) and all(out[i] == 1000 for i in range(1000, 1200)) and len(out) == 501
 
 
+def test_components_of_earlier_and_new_links(spark):
+    r, tables = random.Random(3), Tables(spark, "test")
+    frame_of = lambda links: spark.createDataFrame(links, "a bigint, b bigint")
+    parts = [[(r.randrange(400), r.randrange(400)) for _ in range(n)] for n in (120, 0, 90, 60)]
+    parts[2] += [(7, 7), parts[0][0], (900, 901)]
+    known, links = None, []
+    for turn, part in enumerate(parts):
+        known, links = components(frame_of(part), tables, f"c{turn}", known), links + part
+        root = {x: x for link in links if link[0] != link[1] for x in link}
+        for _ in root:  # the smaller label goes along the links until none changes
+            before = dict(root)
+            for a, b in links:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+            if before == root:
+                break
+        assert sorted((x.node, x.comp) for x in known.collect()) == sorted(root.items())
+
+
 def test_reordered_and_scattered_benchmark_items_are_caught(spark):
     r = random.Random(2)
     items = [" ".join(sentence(r, 8) for _ in range(5)) for _ in range(6)] + [None, "", "two words"]
