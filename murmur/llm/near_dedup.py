@@ -142,81 +142,33 @@ class _Classes:
     def __init__(self, docs: DataFrame, classes: DataFrame, repeats: DataFrame | None, settings: tuple[int, int, int], percent: int):
         self.docs, self.keys, self.repeats, self.settings, self.percent = docs, classes.select("cid", "d", "th"), repeats, settings, percent
 
-    def texts(self, wanted: DataFrame) -> DataFrame:
-        """(cid, t) of the wanted classes, once each, by broadcasting their keys where these, which are counted, are few."""
-        ids = wanted.select("cid").distinct()
+    def sets(self, wanted: DataFrame, tables: Tables, name: str) -> DataFrame:
+        """(cid, shingles as bytes) of the wanted classes, once each, as the written table ``name``: documents are read once a step.
+
+        The keys of the wanted are broadcast where these, which are counted, are few.
+        """
+        settings = self.settings
+        ids = tables.write(wanted.select("cid").distinct(), f"{name}-ids")
         told = F.broadcast if ids.count() <= BROADCAST_IDS else lambda df: df
         keys = self.keys.join(told(ids), "cid", "left_semi")
         found = self.docs.join(told(keys), ["d", "th"])
         if self.repeats is not None:  # only texts of repeated ids move, so that a class's row that repeats counts once
             again = found.join(self.repeats, "d", "left_semi").dropDuplicates(["cid"])
             found = found.join(self.repeats, "d", "left_anti").unionByName(again)
-        return found.select("cid", "t")
-
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """(cid, shingles as bytes) of the wanted classes."""
-        settings = self.settings
 
         def run(batches):
             own = _sketcher(*settings)
             for batch in batches:
-                found = pa.array([own.shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
-                yield pa.record_batch([batch.column(0), found], names=["cid", "shingles"])
-
-        return self.texts(wanted).mapInArrow(run, "cid bigint, shingles binary")
-
-    def single(self, wanted: DataFrame) -> DataFrame:
-        """(shingle, lo, hi, c): the shingles of the wanted classes, with the least and largest class and their number, counted in each task first."""
-        settings = self.settings
+                sets = pa.array([own.shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+                yield pa.record_batch([batch.column(0), sets], names=["cid", "shingles"])
 
-        def counted(ids: list[int], sets: list[np.ndarray]):
-            shingles, owners = np.concatenate(sets), np.repeat(np.array(ids, np.int64), [len(s) for s in sets])
-            order = np.lexsort((owners, shingles))
-            shingles, owners = shingles[order], owners[order]
-            first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
-            last = np.append(first[1:], len(shingles)) - 1
-            return pa.record_batch([pa.array(shingles[first]), pa.array(owners[first]), pa.array(owners[last]), pa.array(last - first + 1)], names=["shingle", "lo", "hi", "c"])
+        return tables.write(found.select("cid", "t").mapInArrow(run, "cid bigint, shingles binary"), name)
 
-        def run(batches):
-            own = _sketcher(*settings)
-            ids, sets, held = [], [], 0
-            for batch in batches:
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids.append(d)
-                    sets.append(own.shingles(t).view(np.int64))
-                    held += len(sets[-1])
-                    if held > COUNTED:
-                        yield counted(ids, sets)
-                        ids, sets, held = [], [], 0
-            if held:
-                yield counted(ids, sets)
-
-        return self.texts(wanted).mapInArrow(run, "shingle bigint, lo bigint, hi bigint, c bigint")
-
-    def rarest(self, wanted: DataFrame, common: np.ndarray) -> DataFrame:
-        """(cid, shingle): the shingles of each wanted class one of which a linked one must have, ``common`` ones last."""
-        settings, percent = self.settings, self.percent
-        last = self.docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
-
-        def run(batches):
-            own = _sketcher(*settings)
-            ordered, rank = last.value
-            for batch in batches:
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    s = own.shingles(t).view(np.int64)
-                    n = len(s)
-                    if len(ordered) and n:
-                        spot = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
-                        s = s[np.argsort(np.where(ordered[spot] == s, rank[spot] + 1, 0), kind="stable")]
-                    s = s[: n - -(-n * percent // 100) + 1]
-                    yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array(s)], names=["cid", "shingle"])
-
-        return self.texts(wanted).mapInArrow(run, "cid bigint, shingle bigint")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are as similar as asked: 100 |A & B| >= percent |A | B|."""
+    def verified(self, pairs: DataFrame, tables: Tables, name: str) -> DataFrame:
+        """The pairs (a, b) whose full sets are as similar as asked, 100 |A & B| >= percent |A | B|, as the written table ``name``."""
         percent = self.percent
-        side = lambda name: self.sets(pairs.select(F.col(name).alias("cid"))).select(F.col("cid").alias(name), F.col("shingles").alias(f"{name}_set"))
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")), tables, f"{name}-sets")
+        side = lambda name: sets.select(F.col("cid").alias(name), F.col("shingles").alias(f"{name}_set")).hint("merge")
 
         def run(batches):
             for batch in batches:
@@ -227,8 +179,56 @@ class _Classes:
                     keep.append(100 * both >= percent * (len(a) + len(b) - both))
                 yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        # Merge joins: with a broadcast, a task would run the Python of a side and of the comparison at once, in twice the workers.
-        return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a bigint, b bigint")
+        # Merge joins: Spark splits the pairs of a head that thousands of sets have; with a broadcast of pairs, one task would make them all.
+        out = tables.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a bigint, b bigint"), name)
+        tables.drop(f"{name}-sets", f"{name}-sets-ids")
+        return out
+
+
+def _counted(sets: DataFrame) -> DataFrame:
+    """(shingle, lo, hi, c): the shingles of ``sets``, with the least and largest class and their number, counted in each task first."""
+
+    def counted(ids: list[int], held: list[np.ndarray]):
+        shingles, owners = np.concatenate(held), np.repeat(np.array(ids, np.int64), [len(s) for s in held])
+        order = np.lexsort((owners, shingles))
+        shingles, owners = shingles[order], owners[order]
+        first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+        last = np.append(first[1:], len(shingles)) - 1
+        return pa.record_batch([pa.array(shingles[first]), pa.array(owners[first]), pa.array(owners[last]), pa.array(last - first + 1)], names=["shingle", "lo", "hi", "c"])
+
+    def run(batches):
+        ids, held, size = [], [], 0
+        for batch in batches:
+            for cid, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(cid)
+                held.append(np.frombuffer(x.as_buffer(), np.int64))
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield counted(ids, held)
+                    ids, held, size = [], [], 0
+        if size:
+            yield counted(ids, held)
+
+    return sets.mapInArrow(run, "shingle bigint, lo bigint, hi bigint, c bigint")
+
+
+def _rarest(sets: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """(cid, shingle): the shingles of each class one of which a linked one must have, ``common`` ones last."""
+    last = sets.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
+
+    def run(batches):
+        ordered, rank = last.value
+        for batch in batches:
+            for cid, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.frombuffer(x.as_buffer(), np.int64)
+                n = len(s)
+                if len(ordered) and n:
+                    spot = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
+                    s = s[np.argsort(np.where(ordered[spot] == s, rank[spot] + 1, 0), kind="stable")]
+                s = s[: n - -(-n * percent // 100) + 1]
+                yield pa.record_batch([pa.array(np.full(len(s), cid)), pa.array(s)], names=["cid", "shingle"])
+
+    return sets.mapInArrow(run, "cid bigint, shingle bigint")
 
 
 def _sized(percent: int) -> str:
@@ -241,17 +241,18 @@ def _block_links(own: _Classes, members: DataFrame, tables: Tables) -> DataFrame
     percent = own.percent
     rarest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1  # a link has one of so many of the rarest in common
     ids = members.select("cid", "n")
+    sets = own.sets(ids, tables, "sets")
     # A set with as many shingles that no other has is linked with none. Their only holder is known without a join.
-    lone = own.single(ids).groupBy("shingle").agg(F.min("lo").alias("cid"), F.max("hi").alias("last")).where("cid = last")
+    lone = _counted(sets).groupBy("shingle").agg(F.min("lo").alias("cid"), F.max("hi").alias("last")).where("cid = last")
     alone = lone.groupBy("cid").agg(F.count("*").alias("own"))
     left = tables.write(ids.join(alone, "cid", "left").where(F.coalesce("own", F.lit(0)) < rarest).select("cid"), "left")
     members = members.join(left, "cid", "left_semi")
-    sets = own.sets(left)
+    sets = tables.write(sets.join(left, "cid", "left_semi"), "left-sets")
+    tables.drop("sets")
     # Common shingles come last, by how many sets have them; the others in the order of their hashes. Any one order is exact.
-    df = own.single(left).groupBy("shingle").agg(F.sum("c").alias("df")).where(F.col("df") > BLOCK)
+    df = _counted(sets).groupBy("shingle").agg(F.sum("c").alias("df")).where(F.col("df") > BLOCK)
     common = df.orderBy(F.desc("df"), "shingle").limit(COMMON_SHINGLES).select("shingle").toArrow()["shingle"].to_numpy()[::-1].astype(np.int64)
-    prefix = own.rarest(left, common)
-    prefix = tables.write(prefix.join(members.select("cid", "comp"), "cid"), "prefixes")
+    prefix = tables.write(_rarest(sets, common, percent).join(members.select("cid", "comp"), "cid"), "prefixes")
     meet = prefix.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("head")).where("lo <> hi")
     # A shingle that many sets have meets its head in several tasks.
     meet = meet.select("shingle", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -356,11 +357,12 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
     named = table.join(heads, "key").where("cid <> head.cid").groupBy(F.col("cid").alias("b"), F.col("head.cid").alias("a")).agg(F.count("*").alias("votes"), F.first("n").alias("nb"), F.first("head.n").alias("na"))
     named = tables.write(named.where(_sized(percent)), "named")
     best = named.groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
-    links = links.unionByName(tables.write(own.verified(best), "links-1"))
+    best = tables.write(best, "best")
+    links = links.unionByName(own.verified(best, tables, "links-1"))
     comps = components(links, tables, "components-1")
 
     apart = labelled(named.select("a", "b"), comps).where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = tables.write(own.verified(tables.write(apart, "apart")), "links-2")
+    more = own.verified(tables.write(apart, "apart"), tables, "links-2")
     comps = components(more, tables, "components-2", comps)
 
     # 2: all tables; only where components meet.
@@ -379,7 +381,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
     large = tables.write(large, "large")
     pairs = pairs.where(F.col("c") >= least_tables).select("a", "b")
     candidates = tables.write(pairs.join(named.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    links = tables.write(own.verified(candidates), "links-3")
+    links = own.verified(candidates, tables, "links-3")
     if not large.isEmpty():
         links = links.unionByName(tables.write(_block_links(own, large, tables), "links-4"))
     comps = components(links, tables, "components-3", comps)
