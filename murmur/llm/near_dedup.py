@@ -367,7 +367,8 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
 
     # 2: all tables; only where components meet.
     located = hot.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    located = tables.write(located.repartition("comp"), "located")
+    # Members of a component meet, so that their keys are counted before they move; of a large one they are split over tasks.
+    located = tables.write(located.hint("rebalance", F.col("comp")), "located")
     wide = located.select("cid", "n", "comp", keys(False).alias("key"))
     meet = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
     members = tables.write(wide.join(meet, "key"), "members")
