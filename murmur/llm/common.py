@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,18 @@ def only(owner: str) -> None:
     for name, forget in _MEMORIES.items():
         if name != owner:
             forget()
+    _give_back()
+
+
+def rest(owner: str) -> None:
+    """To be called where a task ends: a worker that waits while the JVM works holds no memo tables."""
+    _MEMORIES[owner]()
+    _give_back()
+
+
+def _give_back() -> None:
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library can't, memory is reused all the same
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import only, remember
+from murmur.llm.common import only, remember, rest
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -365,6 +365,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text
                     flat = np.frombuffer(b"".join(packed_ids), "<i4")
                     ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), ids, pa.array(texts, pa.string())], names=names)
+        rest("sentencepiece")
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, n_tokens bigint, {tail}").withColumnRenamed("k", key)
