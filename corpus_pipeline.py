@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of a shingle and per cent of similarity that make two documents near duplicates.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 #: Texts that go to a Python worker at once.
-TEXTS = 1000
+TEXTS = 250
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
