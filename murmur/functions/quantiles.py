@@ -1,28 +1,66 @@
 """Samplers by inversion: draws as functions of uniforms, so that a stream of hashes replays them.
 
-Invalid parameters give -1 for counts and NaN for continuous draws.
+Invalid parameters give -1 for counts and NaN for continuous draws. A uniform that equals a cumulated
+probability, but for rounding, is settled as SQL does: the C library's functions, one term after the other.
 """
 
 from __future__ import annotations
 
+import ctypes
+import math
+from collections.abc import Callable
+
 import numpy as np
 
 from murmur.functions.special import lgamma, log_ndtr
 
 
-def _search(u: np.ndarray, log_pmf, top: np.ndarray) -> np.ndarray:
-    """The smallest k <= top whose cumulated probability reaches u; a pass over k for all draws at once."""
+#: A uniform so close to a cumulated probability is a tie, which rounding decides.
+_TIE = 1e-9
+
+try:  # NumPy's exp and Python's lgamma differ from the C library's in the last digit
+    _lgamma = ctypes.CDLL("libm.so.6").lgamma
+    _lgamma.restype, _lgamma.argtypes = ctypes.c_double, [ctypes.c_double]
+except (OSError, AttributeError):
+    _lgamma = math.lgamma
+
+
+def _search(u: np.ndarray, log_pmf, top: np.ndarray, term: Callable[..., float], *by: np.ndarray) -> np.ndarray:
+    """The smallest k <= top whose cumulated probability reaches u; a pass over k for all draws at once.
+
+    ``term(k, *by)`` is ``log_pmf`` of a single draw, for ties.
+    """
     out, total, k = np.full(u.shape, -1, np.int64), np.zeros(u.shape), 0
-    open_ = np.ones(u.shape, bool)
+    open_, tied = np.ones(u.shape, bool), np.zeros(u.shape, bool)
     while open_.any():
         total = total + np.where(open_, np.exp(log_pmf(k)), 0.0)
+        tied |= open_ & (np.abs(total - u) < _TIE)
         done = open_ & ((total >= u) | (k >= top))
         out[done] = k
         open_ &= ~done
         k += 1
+    for i in zip(*np.nonzero(np.atleast_1d(tied))):
+        own = [float(np.atleast_1d(x)[i]) for x in (u, top, *by)]
+        np.atleast_1d(out)[i] = _settled(*own[:2], lambda k: term(k, *own[2:]))  # noqa: B023
     return out
 
 
+def _settled(u: float, top: float, term: Callable[[int], float]) -> int:
+    total, k = math.exp(term(0)), 0
+    while total < u and k < top:
+        k += 1
+        total += math.exp(term(k))
+    return k
+
+
+def _poisson_term(k: int, lam: float) -> float:
+    return k * math.log(lam) - lam - _lgamma(k + 1) if lam > 0 else 0.0 if k == 0 else -math.inf
+
+
+def _binomial_term(k: int, n: float, p: float) -> float:
+    return _lgamma(n + 1) - _lgamma(k + 1) - _lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p) if k <= n else -math.inf
+
+
 def poisson(u, lam) -> np.ndarray:
     """Poisson quantile; the search ends at lam + 10 sqrt(max(lam, 1))."""
     u, lam = np.broadcast_arrays(np.asarray(u, float), np.asarray(lam, float))
@@ -30,7 +68,7 @@ def poisson(u, lam) -> np.ndarray:
     safe = np.where(good, lam, 0.0)
     with np.errstate(divide="ignore", invalid="ignore"):
         log_lam = np.log(safe)
-        out = _search(np.where(good, u, 0.0), lambda k: np.where(safe > 0, k * log_lam - safe - lgamma(k + 1.0), 0.0 if k == 0 else -np.inf), np.floor(safe + 10 * np.sqrt(np.maximum(safe, 1))))
+        out = _search(np.where(good, u, 0.0), lambda k: np.where(safe > 0, k * log_lam - safe - lgamma(k + 1.0), 0.0 if k == 0 else -np.inf), np.floor(safe + 10 * np.sqrt(np.maximum(safe, 1))), _poisson_term, safe)
     return np.where(good, out, -1)
 
 
@@ -39,7 +77,7 @@ def binomial(u, n, p) -> np.ndarray:
     good = (n >= 0) & (p >= 0) & (p <= 1) & (u >= 0) & (u <= 1)
     m, q = np.where(good, n, 0.0), np.clip(np.where(good, p, 0.5), 1e-300, 1 - 1e-16)
     pmf = lambda k: np.where(k <= m, lgamma(m + 1) - lgamma(k + 1.0) - lgamma(np.maximum(m - k, 0) + 1) + k * np.log(q) + (m - k) * np.log1p(-q), -np.inf)
-    out = np.where(p <= 0, 0, np.where(p >= 1, m, _search(np.where(good, u, 0.0), pmf, m)))
+    out = np.where(p <= 0, 0, np.where(p >= 1, m, _search(np.where(good, u, 0.0), pmf, m, _binomial_term, m, q)))
     return np.where(good, out, -1).astype(np.int64)
 
 

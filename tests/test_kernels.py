@@ -300,6 +300,24 @@ def test_quantile_samplers():
         Q.negative_binomial(0.5, 0.5, 1.0)
 
 
+def test_quantile_samplers_settle_ties_as_sql(tmp_path, spark):
+    import duckdb
+
+    from murmur.functions import quantiles as Q
+    from murmur.plans import replay_queries
+
+    # Each uniform is a cumulated probability: 0.3025 = 0.55 ** 2, 0.9375 = 15 / 16.
+    assert Q.binomial(np.array([0.3025, 0.9375, 0.9375]), np.array([2, 4, 7]), np.array([0.45, 0.5, 0.5])).tolist() == [0, 3, 6]
+    assert Q.binomial(0.3025, 2, 0.45) == 0 and Q.poisson(1.0, 0.0) == 0 and Q.binomial(1.0, 3, 1.0) == 3
+    c = duckdb.connect()
+    c.sql(f"""COPY (SELECT row_number() OVER () AS l_orderkey, 1::INT AS l_linenumber, n::DOUBLE AS l_quantity, d / 100.0::DOUBLE AS l_discount, u AS l_partkey
+      FROM range(2, 8) a(n), range(11) b(d), range(1000) e(u) WHERE u % 5 < 3) TO '{tmp_path}/lineitem.parquet'""")
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
+    got = replay_queries.QUERIES["quantile_draws"](spark, str(tmp_path)).toPandas().sort_values("l_orderkey")
+    expected = c.sql(replay_queries.ORACLES["quantile_draws"]).df().sort_values("l_orderkey")
+    assert (got[["poisson", "binomial"]].to_numpy() == expected[["poisson", "binomial"]].to_numpy()).all()
+
+
 def test_splines_interpolate_smooth_and_go_on_as_lines():
     from murmur.functions.splines import smoothing_spline
 
