@@ -13,8 +13,10 @@ support counts distinct texts keeps copies of one text from looking like evidenc
 Everything is DataFrame expressions. Places come from the matches and the gaps between
 them, by prefix sums in blocks, so long texts with many matches stay near linear; the
 patterns are possessive or anchored at the start of a run, so no text makes them step back
-for long. Words are counted over all texts, but only the candidate terms among them move:
-where these are few, as counted, a broadcast leaves the others out before the aggregation;
+for long. Words are counted over all texts, but only the candidate terms among them move. The
+rows that say a term near any entity are a part of n(t), so a term whose disclosure would stay
+below the limit with these alone, as that of every common word, is no candidate.
+Where candidates are few, as counted, a broadcast leaves the others out before the aggregation;
 beyond that the vocabulary is aggregated in each task first and joined by shuffle.
 
 Defined results: a null or empty text has no spans; rows are told apart by id and text,
@@ -114,7 +116,7 @@ def _spans(text: Column, pattern: Column, kind_no: int, kind: str, needle: str |
 
 
 def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int = 6, reach: int = 120) -> DataFrame:
-    """(d, th, spans, near): the pattern spans of every row, by start, then kind as listed, and the terms near each.
+    """(d, th, spans, near, told): the pattern spans of every row, by start, then kind as listed, the terms near each, and those of all that are whole words of the text.
 
     near: words on either side of a span, which are sought within ``reach`` characters.
     """
@@ -130,7 +132,13 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", near: int
         before = F.slice(F.reverse(_words(left)), 1, near)
         return F.filter(F.array_union(before, F.slice(_words(right), 1, near)), lambda w: F.length(w) > 2)
 
-    return rows.select("d", "th", let(found, lambda spans: F.struct(spans.alias("spans"), F.transform(spans, context).alias("near"))).alias("x")).select("d", "th", "x.*")
+    def told(near: Column) -> Column:
+        return F.when(F.size(near) > 0, F.array_intersect(F.flatten(near), _words(F.col("t")))).otherwise(F.array().cast("array<string>"))
+
+    def row(spans: Column) -> Column:
+        return let(F.transform(spans, context), lambda near: F.struct(spans.alias("spans"), near.alias("near"), told(near).alias("told")))
+
+    return rows.select("d", "th", let(found, row).alias("x")).select("d", "th", "x.*")
 
 
 def _words(text: Column) -> Column:
@@ -151,15 +159,19 @@ def revealing_terms(docs: DataFrame, found: DataFrame, tables: Tables, *, text:
     shared = shared.where(F.col("texts") >= support).select("e", "ne")
     pairs = by_row.join(shared, "e").select("e", "ne", "th", F.explode("near").alias("term"))
     together = pairs.groupBy("e", "term", "th").agg(F.count("*").alias("c"), F.first("ne").alias("ne")).groupBy("e", "term").agg(F.sum("c").alias("nte"), F.count("*").alias("texts"), F.first("ne").alias("ne"))
-    candidates = tables.write(together.where(F.col("texts") >= support).drop("texts"), "candidates")
+
+    def disclosure(nt: Column) -> Column:
+        return F.log(F.col("n") * F.col("nte") / (nt * F.col("ne"))) / F.log(F.col("n") / F.col("ne"))
+
+    heard = found.select(F.explode("told").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    likely = together.where(F.col("texts") >= support).withColumn("n", found.agg(F.count("*").alias("n")).scalar()).where(F.col("n") > F.col("ne")).join(heard, "term", "left")
+    candidates = tables.write(likely.where(disclosure(F.coalesce("least", F.lit(1))) >= generalise).select("e", "term", "nte", "ne", "n"), "candidates")
     spoken = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
     asked = candidates.select("term").distinct()
     if asked.count() <= BROADCAST_ROWS:
         spoken = spoken.join(F.broadcast(asked), "term", "left_semi")
     counts = spoken.groupBy("term").agg(F.count("*").alias("nt"))
-    scored = candidates.join(counts, "term").withColumn("n", found.agg(F.count("*").alias("n")).scalar()).where(F.col("n") > F.col("ne"))
-    bits = F.log(F.col("n") * F.col("nte") / (F.col("nt") * F.col("ne"))) / F.log(F.col("n") / F.col("ne"))
-    return scored.select("e", "term", bits.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return candidates.join(counts, "term").select("e", "term", disclosure(F.col("nt")).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
 def revealed_rows(docs: DataFrame, revealing: DataFrame, tables: Tables, *, key: str = "doc_id", text: str = "text") -> DataFrame:

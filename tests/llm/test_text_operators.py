@@ -456,6 +456,24 @@ def test_revealing_terms_go_where_the_entity_is_not(spark):
     assert spans[5] == "term:0:8" and spans[6] == "term:8:16" and spans[100] == ""
 
 
+def test_common_words_near_entities_are_no_candidate_terms(spark):
+    from murmur.llm.common import Tables
+
+    # Before, every word near an entity was counted over all texts: here 40 names and 4 common words.
+    told = [f"text{i} everybody says zorb{e}x can meet who{e}@mail.org here{i}" for e in range(40) for i in range(3)]
+    fill = [f"number{i} everybody says that nobody can meet" for i in range(400)]
+    tables = Tables(spark, "pii-terms")
+    got = {r.doc_id: r.spans for r in pii.scan(documents(spark, told + fill), tables=tables).collect()}
+    candidates = {r.term for r in spark.read.parquet(tables.path("candidates")).collect()}
+    assert candidates == {f"zorb{e}x" for e in range(40)}
+    assert all("term:" in got[i] for i in range(120)) and all(got[i] == "" for i in range(120, 520))
+    # A word cut by its entity is no word of its text, and is not counted among those that say it.
+    found = pii.find(documents(spark, ["abc+14155550100 and abc", "abc+14155550100 alone"])).orderBy("d").collect()
+    assert [sorted(r.told) for r in found] == [["abc", "and"], ["abc", "alone"]]
+    glued = pii.find(documents(spark, ["abc4111 1111 1111 1111"])).collect()[0]
+    assert glued.near == [["abc"]] and glued.told == []
+
+
 def test_quality_figures_by_brute_force(spark):
     r = random.Random(1)
     texts = [" ".join(r.choice("abcdef") + r.choice("xy\n#") for _ in range(r.randrange(0, 80))) for _ in range(200)] + [None, "", LONG, "a\x1cb c", "l\nl\n \nl", "x y " * 5 + "# $"]
