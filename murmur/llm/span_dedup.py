@@ -9,10 +9,10 @@ words to hold a run of 25. From every sentence the shortest run of at least
 texts; the first place of a run, by document and place, is kept, and every sentence under
 any other place of it is removed.
 
-A run moves as its hash and place only, once a document: its other places in the same
-document are known without a join. First documents are aggregated before the join, and
-a run that a third of all texts hold is met by one row on the other side, so Spark can
-split it.
+A run moves as its hash and document only, once a document; documents that lose sentences are cut
+again for the places. Other places of a run in the same document are known without a join. First
+documents are aggregated before the join, and a run that a third of all texts hold is met by one
+row on the other side, so Spark can split it.
 
 Defined results: a null or empty text has no sentence; rows that repeat a doc_id are one
 document, which keeps what only they share, and repeated rows give one row; of equal texts
@@ -77,60 +77,62 @@ def runs_of(text: str | None, sentences: int, words: int) -> list[tuple[int, int
     return out
 
 
-def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sentences: int = 3, words: int = 25, tables: Tables | None = None) -> DataFrame:
-    """(d, th, runs): the runs (at, n) of each document that another place holds first."""
+def repeated_runs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sentences: int = 3, words: int = 25, tables: Tables | None = None) -> DataFrame:
+    """(d, hashes): the runs of each document that another document holds first; empty where only its own text repeats them."""
     tables = tables or Tables(docs.sparkSession, "span-dedup")
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
 
     def read(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(begin, 500), []
-                for r, value in enumerate(part.column(2).to_pylist()):
-                    seen: set[int] = set()
-                    for at, n, h in runs_of(value, sentences, words):
-                        rows.append((r, at, n, None if h in seen else h))  # no hash: not the first place
-                        seen.add(h)
-                if rows:
-                    which, *told = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
-                    yield pa.record_batch([part.column(0).take(which), part.column(1).take(which), *told], names=["d", "th", "at", "n", "h"])
-
-    own = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    found = own.mapInArrow(read, f"d {own.schema['d'].dataType.simpleString()}, th bigint, at int, n int, h bigint")
-    runs = tables.write(found, "runs")
+                part, which, told = batch.slice(begin, 500), [], []
+                for r, value in enumerate(part.column(1).to_pylist()):
+                    hashes = [h for _, _, h in runs_of(value, sentences, words)]
+                    own = list(dict.fromkeys(hashes))
+                    own += [None] * (len(own) < len(hashes))  # no hash: the text repeats a run of its own
+                    which += [r] * len(own)
+                    told += own
+                if which:
+                    yield pa.record_batch([part.column(0).take(pa.array(which, pa.int64())), pa.array(told, pa.int64())], names=["d", "h"])
+
+    own = docs.select(F.col(key).alias("d"), F.col(text).alias("t"))
+    runs = tables.write(own.mapInArrow(read, f"d {own.schema['d'].dataType.simpleString()}, h bigint"), "runs")
     firsts = runs.where("h IS NOT NULL").groupBy("h").agg(F.min("d").alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first")
-    others = runs.where("h IS NOT NULL").join(firsts, "h").where("d <> first").drop("first")
-    later = others.unionByName(runs.where("h IS NULL"))
-    return later.groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("runs"))
+    others = runs.where("h IS NOT NULL").join(firsts, "h").where("d <> first").select("d", "h")
+    return others.unionByName(runs.where("h IS NULL")).groupBy("d").agg(F.collect_set("h").alias("hashes"))
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sentences: int = 3, words: int = 25, tables: Tables | None = None) -> DataFrame:
     """A row for each document that loses sentences: ``key``, n_sentences, n_removed, spans (start:end in code points), text (what is left)."""
     tables = tables or Tables(docs.sparkSession, "span-dedup")
-    spans = repeated_spans(docs, key=key, text=text, sentences=sentences, words=words, tables=tables)
+    later = repeated_runs(docs, key=key, text=text, sentences=sentences, words=words, tables=tables)
     own = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     names = ["d", "n_sentences", "n_removed", "spans", "text"]
 
     def cut(batches):
         for batch in batches:
-            rows = []
-            for value, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                cuts = sentences_of(value)
+            which, rows = [], []
+            for r, (value, hashes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                cuts, seen = sentences_of(value), set(hashes)
                 gone = [False] * len(cuts)
                 reached = 0
-                for run in found:  # in order of place: what an earlier run marked isn't marked again
-                    for i in range(max(run["at"], reached), run["at"] + run["n"]):
-                        gone[i] = True
-                    reached = max(reached, run["at"] + run["n"])
+                for at, n, h in runs_of(value, sentences, words):  # in order of place: what an earlier run marked isn't marked again
+                    if h in seen:
+                        for i in range(max(at, reached), at + n):
+                            gone[i] = True
+                        reached = max(reached, at + n)
+                    seen.add(h)
+                if not reached:  # another text of the same id
+                    continue
                 spans: list[list[int]] = []
                 for (a, b, _), g in zip(cuts, gone):
                     if g and spans and spans[-1][1] == a:
                         spans[-1][1] = b
                     elif g:
                         spans.append([a, b])
+                which.append(r)
                 rows.append((len(cuts), sum(gone), ",".join(f"{a}:{b}" for a, b in spans), "".join(value[a:b] for (a, b, _), g in zip(cuts, gone) if not g)))
             told = [pa.array([row[j] for row in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.record_batch([batch.column(0), *told], names=names)
+            yield pa.record_batch([batch.column(0).take(pa.array(which, pa.int64())), *told], names=names)
 
-    met = own.join(spans, own["d"].eqNullSafe(spans["d"]) & (own["th"] == spans["th"])).select(own["d"], own["th"], "t", "runs").dropDuplicates(["d", "th"])
-    return met.select("d", "t", "runs").mapInArrow(cut, f"d {met.schema['d'].dataType.simpleString()}, n_sentences bigint, n_removed bigint, spans string, text string").withColumnsRenamed({"d": key})
+    met = own.join(later, own["d"].eqNullSafe(later["d"])).select(own["d"], own["th"], "t", "hashes").dropDuplicates(["d", "th"])
+    return met.select("d", "t", "hashes").mapInArrow(cut, f"d {met.schema['d'].dataType.simpleString()}, n_sentences bigint, n_removed bigint, spans string, text string").withColumnsRenamed({"d": key})
