@@ -467,6 +467,10 @@ def test_common_words_near_entities_are_no_candidate_terms(spark):
     candidates = {r.term for r in spark.read.parquet(tables.path("candidates")).collect()}
     assert candidates == {f"zorb{e}x" for e in range(40)}
     assert all("term:" in got[i] for i in range(120)) and all(got[i] == "" for i in range(120, 520))
+    tables = Tables(spark, "pii-redacted")  # the pipeline's stage
+    out = {r.doc_id: r.text for r in pii.redact(documents(spark, told + fill), tables=tables).collect()}
+    assert {r.term for r in spark.read.parquet(tables.path("candidates")).collect()} == candidates
+    assert all("zorb" not in out[i] and "everybody says" in out[i] for i in range(120)) and [out[i] for i in range(120, 520)] == fill
     # A word cut by its entity is no word of its text, and is not counted among those that say it.
     found = pii.find(documents(spark, ["abc+14155550100 and abc", "abc+14155550100 alone"])).orderBy("d").collect()
     assert [sorted(r.told) for r in found] == [["abc", "and"], ["abc", "alone"]]
