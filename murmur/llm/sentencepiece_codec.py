@@ -8,6 +8,8 @@ walks over the text with the longest piece that an Aho-Corasick automaton finds
 position, keeps it if it is compatible with its neighbour, else tries the next shorter
 one, and steps back when none is left. Exactly one encoding of a prefix ends at any
 position; a position that failed once therefore never succeeds, and a bitfield holds these.
+The first walk, without steps back, takes the automaton's matches of the whole chunk; the
+steps go on from the first of them that isn't compatible, and look up only places they reach.
 
 Pieces that hold a space mark do so at their start only (checked when the model is
 loaded; otherwise a text is one chunk), so no merge crosses from a character into the
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +42,6 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bytes of each memo table of one Python worker, by an estimate from above; a full table is emptied. Longer chunks aren't remembered.
 MEMO_BYTES, MEMO_CHUNK = 128_000_000, 400
-#: Positions of a chunk whose matches are held at once.
-BLOCK = 4096
 _REPLACEMENT = "�"
 
 
@@ -131,15 +132,61 @@ class _Memo(dict):
         self.used = 0
 
 
-def _pair_size(pair: tuple[str, str], fits: bool) -> int:
-    """Bytes of a remembered pair: its tuple, two strings of up to four bytes a character, its place in the table."""
-    return 280 + 4 * (len(pair[0]) + len(pair[1]))
+def _word_size(word: str, packed: bytes | None) -> int:
+    """Bytes of a remembered word: both objects, rounded up, and its place in the table, also while that grows."""
+    return 120 + sys.getsizeof(word) + sys.getsizeof(packed)
 
 
 def _chunk_size(chunk: str, both: tuple[bytes, str]) -> int:
     return 330 + 4 * len(chunk) + len(both[0]) + 4 * len(both[1])
 
 
+class _Row(dict):
+    """Of one piece: the row of each piece that may follow it, None for one that may not."""
+
+    __slots__ = ("pairs", "left")
+
+    def __init__(self, pairs: _Pairs, left: str):
+        self.pairs, self.left = pairs, left
+
+    def __missing__(self, right: str) -> _Row | None:
+        return self.pairs.find(self, right)
+
+
+class _Pairs:
+    """Which pieces may follow which, in rows that are computed as needed and emptied when full."""
+
+    def __init__(self, fits, limit: int = MEMO_BYTES):
+        self.fits, self.limit, self.used, self.rows = fits, limit, 0, {}
+
+    def row(self, left: str) -> _Row:
+        found = self.rows.get(left)
+        if found is None:
+            self._count(550 + 4 * len(left))  # a dictionary with its first places, its own place, a string
+            found = self.rows[left] = _Row(self, left)
+        return found
+
+    def find(self, row: _Row, right: str) -> _Row | None:
+        after = self.row(right) if self.fits((row.left, right)) else None
+        self._count(180 + 4 * len(right))
+        row[right] = after
+        return after
+
+    def __getitem__(self, pair: tuple[str, str]) -> bool:
+        return self.row(pair[0])[pair[1]] is not None
+
+    def _count(self, size: int) -> None:
+        if self.used + size > self.limit:
+            self.forget()
+        self.used += size
+
+    def forget(self) -> None:
+        for row in self.rows.values():
+            row.clear()  # rows hold each other
+        self.rows.clear()
+        self.used = 0
+
+
 class Codec:
     """Encoder and decoder for one model; holds its memo tables."""
 
@@ -155,10 +202,21 @@ class Codec:
         self.automaton.make_automaton()
         self.chunked = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.longest = max(map(len, self.ids), default=1)
-        self.compatible = _Memo(self._compatible, _pair_size)
-        #: Of a chunk, and of a word that follows one space: (ids packed little-endian, the text that they decode to).
+        #: Of each beginning of a piece, the longest piece that it begins with, if any; of each piece, the next shorter one at its place.
+        self.deepest: dict[str, str | None] = {}
+        for piece in self.ids:
+            found = None
+            for n in range(1, len(piece) + 1):
+                begun = piece[:n]
+                self.deepest[begun] = found = begun if begun in self.ids else found
+        self.shorter = {p: self.deepest[p[:-1]] or p[0] for p in self.ids if len(p) > 1}  # a character that isn't a piece is a symbol too
+        #: The text of each id that has one of its own.
+        self.shown = [None if k in (UNKNOWN, CONTROL, BYTE) else p.replace(MARK, " ") for p, k in zip(model.pieces, model.kinds)]
+        self.compatible = _Pairs(self._compatible)
+        #: Of a chunk: (ids packed little-endian, the text that they decode to).
         self.chunks = _Memo(lambda chunk: self._both(self.encode_chunk(chunk)), _chunk_size)
-        self.words = _Memo(lambda word: self._both(self.encode_chunk(MARK + word)), _chunk_size)
+        #: Of a word that follows one space: its packed ids if they decode to the space and the word, else None.
+        self.words = _Memo(self._word, _word_size)
 
     def forget(self) -> None:
         for memo in (self.chunks, self.words, self.compatible):
@@ -185,109 +243,102 @@ class Codec:
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a text without dummy prefix, begin and end."""
         first = [piece for _, piece in self.automaton.iter_long(chunk)]
-        if sum(map(len, first)) == len(chunk) and self._holds(first):
-            return [self.ids[piece] for piece in first]  # no step back was needed
-        return self._backtrack(chunk)
-
-    def _holds(self, pieces: list[str]) -> bool:
-        compatible, before = self.compatible, ""
-        for piece in pieces:
-            if not compatible[before, piece]:
-                return False
-            before = piece
-        return True
-
-    def _matches(self, chunk: str, begin: int) -> list[list[str]]:
-        """The pieces that start at each place of the block from ``begin``, by rising length."""
-        size = min(BLOCK, len(chunk) - begin)
-        out: list[list[str]] = [[] for _ in range(size)]
-        if size == len(chunk):
-            for end, piece in self.automaton.iter(chunk):
-                out[end + 1 - len(piece)].append(piece)  # by rising end, so by rising length
-        else:
-            for end, piece in self.automaton.iter(chunk, begin, min(begin + size + self.longest, len(chunk))):
-                if (at := end + 1 - len(piece) - begin) < size:
-                    out[at].append(piece)
-        for i, found in enumerate(out):
-            if not found or len(found[0]) > 1:
-                found.insert(0, chunk[begin + i])  # a character that isn't a piece is a symbol too
-        return out
-
-    def _blocks(self, chunk: str):
-        """A function that gives the pieces that start at a place; those of the block around it are found together, and three blocks are held."""
-        held: dict[int, list[list[str]]] = {}
-
-        def starts(at: int) -> list[str]:
-            block = at // BLOCK
-            if block not in held:
-                if len(held) > 2:
-                    held.pop(next(iter(held)))
-                held[block] = self._matches(chunk, block * BLOCK)
-            return held[block][at % BLOCK]
-
-        return starts
+        if sum(map(len, first)) != len(chunk):
+            return self._backtrack(chunk)
+        row = self.compatible.row("")
+        for n, piece in enumerate(first):
+            row = row[piece]
+            if row is None:
+                path = self._steps(chunk, first[:n], self.shorter.get(piece))
+                return self._ids(path) if path else self._backtrack(chunk)
+        return [self.ids[piece] for piece in first]  # no step back was needed
 
     def _backtrack(self, chunk: str) -> list[int]:
-        starts = self._matches(chunk, 0).__getitem__ if len(chunk) <= BLOCK else self._blocks(chunk)
-        failed = bytearray((len(chunk) >> 3) + 1)
-        path: list[tuple[str, int]] = []
-        at, choice = 0, len(starts(0)) - 1 if chunk else 0
-        while at < len(chunk):
-            before, found = path[-1][0] if path else "", starts(at)
-            while choice >= 0:
-                piece = found[choice]
+        return self._ids(self._steps(chunk, [], self._longest(chunk, 0))) if chunk else []
+
+    def _longest(self, chunk: str, at: int) -> str:
+        """The longest piece that starts at a place, or its character."""
+        ahead = chunk[at : at + self.longest]
+        return self.deepest.get(ahead[: self.automaton.longest_prefix(ahead)]) or chunk[at]
+
+    def _steps(self, chunk: str, path: list[str], piece: str | None) -> list[str]:
+        """The pieces of a chunk, from a path of compatible ones and the longest piece to try after it; none if no way goes on from there."""
+        size, longest, shorter, deepest, walk = len(chunk), self.longest, self.shorter, self.deepest, self.automaton.longest_prefix
+        failed = bytearray((size >> 3) + 1)
+        at, row = sum(map(len, path)), self.compatible.row(path[-1] if path else "")
+        while True:
+            while piece is not None:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible[before, piece]:
+                if not failed[end >> 3] >> (end & 7) & 1 and (after := row[piece]) is not None:
                     break
-                choice -= 1
-            if choice >= 0:
-                path.append((found[choice], choice))
-                at = end
-                choice = len(starts(at)) - 1 if at < len(chunk) else 0
-            else:
+                piece = shorter.get(piece)
+            if piece is not None:
+                path.append(piece)
+                if end == size:
+                    return path
+                at, row = end, after
+                ahead = chunk[at : at + longest]
+                piece = deepest.get(ahead[: walk(ahead)]) or chunk[at]
+            elif path:
                 failed[at >> 3] |= 1 << (at & 7)
-                piece, choice = path.pop()
+                piece = path.pop()
                 at -= len(piece)
-                choice -= 1
-        out: list[int] = []
-        for piece, _ in path:
-            if (i := self.ids.get(piece)) is None:
-                out += [self.byte_ids[b] for b in piece.encode()]
+                row, piece = self.compatible.row(path[-1] if path else ""), shorter.get(piece)
             else:
-                out.append(i)
-        return out
+                return path
+
+    def _ids(self, path: list[str]) -> list[int]:
+        try:
+            return [self.ids[piece] for piece in path]
+        except KeyError:  # a character that isn't a piece is its bytes
+            return [i for piece in path for i in ([self.ids[piece]] if piece in self.ids else [self.byte_ids[b] for b in piece.encode()])]
+
+    def _text(self, ids: list[int]) -> str:
+        """What ids decode to, the dummy prefix included."""
+        try:
+            return "".join([self.shown[i] for i in ids])
+        except TypeError:  # byte pieces
+            return self.decode(ids, False)
 
     def _both(self, ids: list[int]) -> tuple[bytes, str]:
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids, False)
+        return struct.pack(f"<{len(ids)}I", *ids), self._text(ids)
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """The packed ids of a text and what they decode to, chunk by chunk, without begin and end.
+    def _word(self, word: str) -> bytes | None:
+        packed, decoded = self._both(self.encode_chunk(MARK + word))
+        return packed if decoded == " " + word else None
+
+    def _whole(self, text: str) -> tuple[bytes, str]:
+        """The packed ids of a text, without begin and end, and what they decode to.
 
         No run of byte pieces crosses from one chunk into the next, which starts with a
         space mark; so the chunks' decoded texts joined are the text that all ids decode to.
         """
         if not text:
-            return []
+            return b"", ""
         if self.chunked and self.model.dummy_prefix and MARK not in text:
             words = text.split(" ")
             if "" not in words:
                 memo = self.words
-                return [memo[w] for w in words]
+                try:
+                    return b"".join([memo[w] for w in words]), text
+                except TypeError:  # a word doesn't decode to itself
+                    pass
         text = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
         chunks = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.chunked else [text]
-        return [self.chunks[c] for c in chunks]
+        both = [self.chunks[c] for c in chunks]
+        decoded = "".join([d for _, d in both])
+        if self.model.dummy_prefix and decoded[:1] == " ":
+            decoded = decoded[1:]
+        return b"".join([p for p, _ in both]), decoded
 
     def encode_decode(self, text: str) -> tuple[bytes, str]:
         """All ids of a text with begin and end, packed, and the text that they decode to."""
-        parts = self.parts(text)
-        decoded = "".join([d for _, d in parts])
-        if self.model.dummy_prefix and decoded[:1] == " ":
-            decoded = decoded[1:]
-        return struct.pack("<I", self.model.bos) + b"".join([p for p, _ in parts]) + struct.pack("<I", self.model.eos), decoded
+        packed, decoded = self._whole(text)
+        return struct.pack("<I", self.model.bos) + packed + struct.pack("<I", self.model.eos), decoded
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text with begin and end."""
-        packed = b"".join([p for p, _ in self.parts(text)])
+        packed, _ = self._whole(text)
         return [self.model.bos, *struct.unpack(f"<{len(packed) // 4}I", packed), self.model.eos]
 
     def decode(self, ids, strip: bool = True) -> str:

@@ -102,6 +102,57 @@ def test_memory_of_unspaced_texts_is_bounded(own, library):
     assert own.encode(long) == library.encode(long, add_bos=True, add_eos=True)
 
 
+class Counting:
+    """An automaton that counts what it is asked for; with ``short``, its matches of a whole chunk aren't the longest."""
+
+    def __init__(self, automaton, short=False):
+        self.automaton, self.short, self.n = automaton, short, 0
+
+    def iter(self, *chunk):
+        for found in self.automaton.iter(*chunk):
+            self.n += 1
+            yield found
+
+    def iter_long(self, chunk):
+        for found in [(i, c) for i, c in enumerate(chunk) if c in self.automaton] if self.short else self.automaton.iter_long(chunk):
+            self.n += 1
+            yield found
+
+    def longest_prefix(self, ahead):
+        self.n += 1
+        return self.automaton.longest_prefix(ahead)
+
+
+def test_stepping_back_costs_the_places_that_it_reaches(library):
+    """A chunk's encoding asks for few matches more than it has ids, and a table has room for a task's words."""
+    with open(MODEL, "rb") as file:
+        own = Codec(PieceModel.parse(file.read()))
+    r = random.Random(7)
+    bits = ["th", "on", "ble", "tion", "er", "ing", "en", "an", "sh", "ou", "and", "ea", "st", "è", "ai", "eaux", "ción", "ll"]
+    words = list(dict.fromkeys("".join(r.choice(bits) for _ in range(r.randrange(2, 7))) for _ in range(4000)))[:3000]
+    own.automaton = Counting(own.automaton)
+    expected = [library.encode(w) for w in words]
+    assert len(words) == 3000 and [own.encode_chunk(MARK + w) for w in words] == expected
+    assert own.automaton.n < 3 * sum(map(len, expected))
+    own.words.limit = 1_000_000
+    own.encode_decode(" ".join(words))
+    assert len(own.words) == 3000 and own.words.used <= own.words.limit
+
+
+def test_steps_are_exact_from_any_first_walk_and_when_tables_are_emptied(library):
+    with open(MODEL, "rb") as file:
+        own = Codec(PieceModel.parse(file.read()))
+    r = random.Random(8)
+    words = ["".join(r.choice(["th", "on", "ble", "er", "ing", "è", "ai", "x", "1", "\n", "😀", "丝"]) for _ in range(r.randrange(1, 9))) for _ in range(1500)]
+    expected = [library.encode(w) for w in words]
+    own.automaton = Counting(own.automaton, short=True)
+    assert [own.encode_chunk(MARK + w) for w in words] == expected
+    own.compatible.forget()
+    own.automaton.short, own.compatible.limit = False, 3000
+    assert [own.encode_chunk(MARK + w) for w in words] == expected == [own._backtrack(MARK + w) for w in words]
+    assert own.compatible.used <= 3000 and own.encode_chunk("") == own._backtrack("") == []
+
+
 def test_models_that_the_method_cannot_encode_are_refused():
     with pytest.raises(ValueError):
         PieceModel.parse(b"")
